@@ -1,10 +1,18 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from textveil.llm.fingerprints import op3_fingerprints
+from textveil.llm.language import op4_language
 from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
+from textveil.llm.mixing import op1_mixing
 from textveil.llm.packing import op9_packing
+from textveil.llm.quality import op7_quality
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_language": op4_language,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op9_packing": op9_packing,
 }
 
