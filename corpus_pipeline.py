@@ -1,9 +1,11 @@
 """Stages of the corpus pipeline; each reads all that its predecessor kept."""
 
 from textveil.llm.line_dedup import dedup_lines
+from textveil.ship import ship
 
 
 def _lines(spark, docs, sf_dir):
+    ship(spark)
     return dedup_lines(docs).drop("__n_lines", "__n_dropped")
 
 
