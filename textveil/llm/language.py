@@ -28,7 +28,7 @@ from textveil.llm import samples
 DIMS = 4096
 CENTROIDS = 3
 SAMPLE = 800  # labelled rows a language, about
-REJECT = 0.5  # of the sample's 0.5 % quantile of cosines
+REJECT = 0.25  # of the 0.5 % quantile of the cosines in the sample
 CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 
