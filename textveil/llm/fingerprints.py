@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textveil.llm import ids
 from textveil.llm import shingles as sh
 
 BINS = 256
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 got += packed(signatures(part)[0])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": got})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
+    return docs.select(ids.filled(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fingerprint string").withColumn("doc_id", ids.emptied("doc_id"))
 
 
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -97,7 +98,7 @@ def _compare(rows: list[tuple], following: str) -> pd.DataFrame:
     low, some = signatures([t.encode() for t in [*texts, following]])
     elow, esome = signatures(edited)
     return pd.DataFrame({
-        "doc_id": pd.array([i for i, _ in rows], dtype="Int64"),
+        "doc_id": [i for i, _ in rows],
         "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
         "fingerprint": packed(low[:-1]),
@@ -112,8 +113,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     held, bucket, done = 0, None, False
     for pdf in batches:
-        ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
-        for i, text, b, handed in zip(ids, pdf["text"], pdf["bucket"], pdf["handed"], strict=True):
+        for i, text, b, handed in zip(pdf["doc_id"], pdf["text"], pdf["bucket"], pdf["handed"], strict=True):
             if b != bucket:
                 rows, held, bucket, done = [], 0, b, False
             if rows and not done and (handed or held + len(text) > sh.CHUNK_BYTES):
@@ -133,7 +133,7 @@ def fingerprint_edits(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Data
     as well. The driver holds the bounds of the ranges, one per bucket_bytes.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(ids.filled("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
     n = max(1, min(max(24, (total["b"] or 0) // bucket_bytes), total["n"] // 2))
     cuts: list[int] = []
@@ -143,22 +143,17 @@ def fingerprint_edits(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Data
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        at = np.zeros(len(ids), np.int32)
-        at[known] = np.searchsorted(edges, ids[known].astype("int64").to_numpy(), side="left")
-        return pd.Series(at)
-
-    firsts = sorted(
-        (r["bucket"], None if r["nulls"] else r["first"])
-        for r in rows.select("doc_id").withColumn("bucket", bucket_of("doc_id")).groupBy("bucket").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).collect()
-    )
+    def bucket_of(found: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, found.to_numpy(), side="left").astype(np.int32))
+
+    dealt = rows.select("doc_id").withColumn("bucket", bucket_of("doc_id"))
+    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
     hand = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     dim = F.broadcast(spark.createDataFrame(hand, "first long, bucket int"))  # one row for each range
     own = rows.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.lit(False).alias("handed"))
-    handed = rows.join(dim, rows["doc_id"].eqNullSafe(dim["first"])).select("doc_id", "text", "bucket", F.lit(True).alias("handed"))
+    handed = rows.join(dim, rows["doc_id"] == dim["first"]).select("doc_id", "text", "bucket", F.lit(True).alias("handed"))
     dealt = own.unionByName(handed).repartition(max(1, len(firsts)), "bucket")
-    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(_stream, NEIGHBOURS)
+    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(_stream, NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

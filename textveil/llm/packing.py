@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textveil.llm import ids
+
 TIERS = (512, 1024, 2048, 4096)
 LEAST = 16  # the smallest window that a bucket's last ids are cut to
 END_ID = 2
@@ -168,14 +170,14 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for pdf in batches:
-            packed = [ids.of_text(t or "") + end for t in pdf["text"]]
+            packed = [words.of_text(t or "") + end for t in pdf["text"]]
             n = [len(p) // 4 for p in packed]
             narrow = [np.frombuffer(p, "<u4").astype("<u2").tobytes() for p in packed]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids": narrow})
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(ids.filled(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_tokens long, ids binary")
 
 
@@ -209,13 +211,11 @@ def pack(
                 out.append((docs_of[doc], start, n, crc, lengths[doc], (bucket << 32) + number, at, total, tier, group, part if with_ids else None))
                 at += n
             seen += total
-        frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "tier", "step_group", "ids"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "tier", "step_group", "ids"])
 
     rows = tokenized(docs, tokenizer_path, text, doc_id, end_id)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long"))
-    return rows.groupBy("bucket").applyInPandas(run, PIECES)
+    return rows.groupBy("bucket").applyInPandas(run, PIECES).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def tokenizer_path() -> str:

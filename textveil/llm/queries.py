@@ -1,6 +1,7 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
 from textveil.llm.fingerprints import op3_fingerprints
+from textveil.llm.jaccard_join import op8_jaccard
 from textveil.llm.language import op4_language
 from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
 from textveil.llm.mixing import op1_mixing
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
 }
 
