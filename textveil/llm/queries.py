@@ -7,6 +7,7 @@ from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
 from textveil.llm.mixing import op1_mixing
 from textveil.llm.packing import op9_packing
 from textveil.llm.quality import op7_quality
+from textveil.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op6_line_dedup": OP6_SQL}
