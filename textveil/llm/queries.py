@@ -1,5 +1,6 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from textveil.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from textveil.llm.fingerprints import op3_fingerprints
 from textveil.llm.jaccard_join import op8_jaccard
 from textveil.llm.language import op4_language
@@ -11,6 +12,7 @@ from textveil.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_language": op4_language,
     "op6_line_dedup": op6_line_dedup,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op6_line_dedup": OP6_SQL}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL}
