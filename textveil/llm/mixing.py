@@ -228,7 +228,8 @@ def mix_sources(
     past = F.least(start + F.col("size"), (F.col("block") + 1) * b)
     segments = segments.select("doc_id", "copy_no", "source_no", "block", (first - start).alias("first"), (first - F.col("block") * b).alias("at"), (past - first).alias("n"))
     drawn = slots(spark, sources, block, shard_slots, seed)
-    uses = segments.join(drawn, ["source_no", "block"]).filter("take > at")
+    # drawn grows with the mix though its plan starts from a small range: never broadcast
+    uses = segments.join(drawn.hint("merge"), ["source_no", "block"]).filter("take > at")
     uses = uses.select("doc_id", "copy_no", "epoch", "first", (F.col("first") + F.least("n", F.col("take") - F.col("at"))).alias("past"))
     return Mix(sizes, drawn, uses)
 
