@@ -215,7 +215,7 @@ def mix_sources(
     sizes = found.join(dim, found["source"].eqNullSafe(dim["src"])).drop("src")
 
     # Where each document starts among its source's words: buckets, then inside a bucket.
-    buckets = max(16, sum(r["n"] for r in totals) // BUCKET_ROWS)
+    buckets = max(256, sum(r["n"] for r in totals) // BUCKET_ROWS)
     placed = sizes.filter("size > 0").select("doc_id", "copy_no", "source_no", "size", F.pmod(F.xxhash64("doc_id", "copy_no", F.lit(seed)), F.lit(buckets)).alias("bucket"))
     before = F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")
     base = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select("source_no", "bucket", before.alias("base"))
