@@ -152,7 +152,7 @@ def fingerprint_edits(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Data
     dim = F.broadcast(spark.createDataFrame(hand, "first long, bucket int"))  # one row for each range
     own = rows.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.lit(False).alias("handed"))
     handed = rows.join(dim, rows["doc_id"] == dim["first"]).select("doc_id", "text", "bucket", F.lit(True).alias("handed"))
-    dealt = own.unionByName(handed).repartition(max(1, len(firsts)), "bucket")
+    dealt = own.unionByName(handed).repartitionById(max(1, n), "bucket")
     return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(_stream, NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
 
 
