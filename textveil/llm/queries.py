@@ -8,6 +8,7 @@ from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
 from textveil.llm.mixing import op1_mixing
 from textveil.llm.packing import op9_packing
 from textveil.llm.quality import op7_quality
+from textveil.llm.substring_dedup import op5_substring_dedup
 from textveil.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_language": op4_language,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_jaccard": op8_jaccard,
