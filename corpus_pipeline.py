@@ -1,22 +1,66 @@
-"""Stages of the corpus pipeline; each reads all that its predecessor kept."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing.
 
-from textveil.llm.line_dedup import dedup_lines
+Every stage works on all rows that its predecessor kept, read again from Parquet.
+Documents whose language is rejected go; lines that many documents share stay in
+one of them; one document of each group of near duplicates stays; sources are
+mixed to their target weights (a document taken in several epochs has as many
+rows); the last stage returns the packed pieces. Other columns pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textveil.llm import jaccard_join, language, line_dedup, mixing, packing, scratch
 from textveil.ship import ship
 
 
-def _lines(spark, docs, sf_dir):
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; the others (rejected) go."""
+    ship(spark)
+    model = language.fit(language.learn_from(docs))
+    return language.identify(docs, model).filter("NOT __rejected").drop("__lang", "__score", "__rejected")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a larger doc_id keeps."""
+    ship(spark)
+    return line_dedup.dedup_lines(docs).drop("__n_lines", "__n_dropped")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates."""
     ship(spark)
-    return dedup_lines(docs).drop("__n_lines", "__n_dropped")
+    return jaccard_join.keep_one(docs)
 
 
-STAGES = [("line dedup", _lines)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each epoch that takes words of a document, with these words."""
+    ship(spark)
+    return mixing.materialise(docs, mixing.mix_sources(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents in their sequences."""
+    ship(spark)
+    return packing.pack(docs, packing.tokenizer_path(), with_ids=False).drop("ids")
+
 
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("mixing to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+ORACLE_SQL = None  # packing needs a tokenizer; see tests/llm/test_pipeline.py
 
 
-ORACLE_SQL = None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES, 1):
+        rows = stage(spark, rows, sf_dir)
+        if number < len(STAGES):
+            rows = scratch.table(rows, "stage")
+    return rows
