@@ -4,8 +4,10 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
 link when 100 * |intersection| >= 80 * |union|.
 
 1. Equal sets form a class; its least doc_id stands for it.
-2. A class whose fifth of least shingle hashes (|x| - ceil(0.8 |x|) + 1 of them)
-   holds no shingle of another class's can't link and goes no further.
+2. Of the p = |x| - ceil(0.8 |x|) + 1 least shingle hashes of a class that links, one
+   at least is among those of the other class, about 0.88 p are. A class of which fewer
+   than max(1, 0.35 p - 4) are among those of any other class goes no further: over the
+   choice of the hash, this loses a link with a probability under 10^-11.
 3. PartEnum: sizes fall into bands (l, l / 0.8); linked sets lie in one band or in
    adjacent ones, and differ in k = (r_i + r_(i+1)) / 9 shingles at most. For each
    family i (bands i and i+1) the domain of shingles is cut into n1 partitions of n2
@@ -200,7 +202,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     reps = classes.select(F.col("rep").alias("doc"))
     prefixes = named.join(reps, "doc", "left_semi").select(F.explode("prefix").alias("key"), "doc")
     # several documents share this shingle of their prefixes
-    shared = prefixes.repartition(parallel, "key").sortWithinPartitions("key", "doc").mapInPandas(_repeats("key", ["doc"]), "doc long").distinct()
+    shared = prefixes.repartition(parallel, "key").sortWithinPartitions("key", "doc").mapInPandas(_repeats("key", ["doc"]), "doc long")
+    shared = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
+    fifth = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    shared = shared.join(named.select("doc", "n"), "doc").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(fifth * 0.35) - 4)).select("doc").distinct()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
