@@ -15,11 +15,11 @@ matches never cross documents.
    equal 8-grams are refined by the bucket identifiers of the suffix 8 later, the
    finer identifiers are used again 16 later, and so on; suffixes alone in their bucket
    drop out. In each final bucket all but the earliest start repeat.
-4. An anchor with more bytes of runs than a task may hold is split by its strings'
-   128-bit hashes instead, and these are compared by one aggregation.
+4. An anchor with more bytes of runs than are sorted at once is gone through in order,
+   with its strings' 64-bit keys; beyond STATE keys these go to one aggregation.
 
 No pair is ever formed: work follows the bytes, whatever the number of copies. The
-result is that of comparing all strings (64-bit hashes of equal anchor and run aside).
+result is that of comparing all strings (64-bit hashes of anchors, runs and keys aside).
 
 Defined results: null and empty texts have 0 bytes and lose none, as texts under LENGTH
 bytes; of rows that repeat a doc_id with different texts the one of least MD5 is
@@ -43,6 +43,7 @@ LENGTH = 100
 GRAM = 16
 SLICE = 1 << 22  # bytes that are searched for anchors at once
 CHUNK = 3_000_000  # bytes of runs that are sorted at once
+STATE = 4_000_000  # keys of one anchor that a task keeps
 _INDEX = np.uint64((1 << 24) - 1)
 
 
@@ -172,42 +173,90 @@ def _buckets(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-REPEATS = "doc long, lo int, n int, k1 long, k2 long"
+REPEATS = "doc long, lo int, n int, k1 long"
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, doc, lo, n, bytes) by (a, doc, lo): repeated starts (k1 null), and for
-    anchors that are too large the key of every string."""
+    anchors that hold more than a task may keep the key of every string."""
     held: list[pd.DataFrame] = []
     size, large = 0, None
     for pdf in batches:
+        if not len(pdf):
+            continue
         a = pdf["a"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else np.zeros(1, np.int64)
-        lengths = np.r_[0, np.cumsum(pdf["bytes"].map(len).to_numpy())] if len(a) else np.zeros(1)
+        edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
+        lengths = np.r_[0, np.cumsum(pdf["bytes"].map(len).to_numpy())]
         for low, high in zip(edges, edges[1:], strict=False):
             group, more = pdf.iloc[low:high], int(lengths[high] - lengths[low])
-            same = bool(held) and held[-1]["a"].iloc[-1] == a[low]
-            if large is not None and large != a[low]:
-                large = None
-            if large is None and held and size + more > CHUNK and not same:
-                yield _sorted(pd.concat(held, ignore_index=True))
+            if large is not None and large.a == a[low]:
+                yield from large.add(group)
+                continue
+            large = None
+            if held and size + more > CHUNK:
+                same = [g for g in held if g["a"].iloc[0] == a[low]]
+                rest = [g for g in held if g["a"].iloc[0] != a[low]]
+                if rest:
+                    yield _sorted(pd.concat(rest, ignore_index=True))
+                held, size = same, sum(int(g["bytes"].map(len).sum()) for g in same)
+            held.append(group)
+            size += more
+            if size > CHUNK:  # one anchor alone
+                large = _Large(a[low])
+                yield from large.add(pd.concat(held, ignore_index=True))
                 held, size = [], 0
-            if large is None:
-                held.append(group)
-                size += more
-                open_size = sum(g["bytes"].map(len).sum() for g in held if g["a"].iloc[0] == a[low]) if size > CHUNK else 0
-                if open_size > CHUNK:
-                    rest = [g for g in held if g["a"].iloc[0] != a[low]]
-                    if rest:
-                        yield _sorted(pd.concat(rest, ignore_index=True))
-                    yield from _keyed(pd.concat([g for g in held if g["a"].iloc[0] == a[low]], ignore_index=True))
-                    held, size, large = [], 0, a[low]
-            else:
-                yield from _keyed(group)
     if held:
         yield _sorted(pd.concat(held, ignore_index=True))
 
 
+class _Large:
+    """The strings of one anchor, too many to sort at once, in order of their places:
+    their 64-bit keys are kept sorted, up to STATE of them; an anchor with more gives
+    its keys away, to be compared by an aggregation over all tasks."""
+
+    def __init__(self, a: int):
+        self.a, self.keyed = a, False
+        self.keys, self.doc, self.lo = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(rows), 16_384):
+            part = rows.iloc[at : at + 16_384]
+            raw, place, row, start = _places(part)
+            doc, keys = part["doc"].to_numpy()[row], _keys(raw, place)
+            if not self.keyed:
+                found, first = np.unique(keys, return_index=True)
+                where = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+                new = self.keys[where] != found if len(self.keys) else np.ones(len(found), bool)
+                again = np.ones(len(keys), bool)
+                again[first[new]] = False
+                if again.any():
+                    order = np.lexsort((start[again], doc[again]))
+                    yield _repeated(_spans(doc[again][order], start[again][order]))
+                merged = np.concatenate([self.keys, found[new]])
+                order = np.argsort(merged, kind="stable")
+                self.keys = merged[order]
+                self.doc = np.concatenate([self.doc, doc[first[new]]])[order]
+                self.lo = np.concatenate([self.lo, start[first[new]]])[order]
+                if len(self.keys) <= STATE:
+                    continue
+                keys, doc, start, self.keyed = self.keys, self.doc, self.lo, True
+                self.keys = self.doc = self.lo = np.zeros(0)
+            yield pd.DataFrame({"doc": doc, "lo": start.astype(np.int32), "n": np.int32(1), "k1": keys.view(np.int64)})
+
+
+def _keys(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(place), np.uint64)
+    for base in (sh._P, 0xC2B2AE3D27D4EB4F):
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * sh.powers(base, len(raw)), out=total[1:])
+        key = sh.mix(key + (total[place + LENGTH] - total[place]) * sh.powers(pow(base, -1, 1 << 64), len(raw))[place])
+    return key
+
+
+def _repeated(spans: pd.DataFrame) -> pd.DataFrame:
+    return spans.assign(k1=pd.array([None] * len(spans), dtype="Int64"))
+
+
 def _places(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all rows, and the place, row and start of each string."""
     sizes = rows["bytes"].map(len).to_numpy()
@@ -235,19 +284,7 @@ def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
     later = np.sort(order[np.r_[False, b[1:] == b[:-1]]]) if len(b) else order
     again = np.lexsort((start[live][later], doc[later]))
     found = _spans(doc[later][again], start[live][later][again]) if len(later) else pd.DataFrame({"doc": [], "lo": [], "n": []}).astype({"doc": "int64", "lo": "int32", "n": "int32"})
-    return found.assign(k1=pd.array([None] * len(found), dtype="Int64"), k2=pd.array([None] * len(found), dtype="Int64"))
-
-
-def _keyed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(rows), 4_096):
-        part = rows.iloc[at : at + 4_096]
-        raw, place, row, start = _places(part)
-        keys = []
-        for base in (sh._P, 0xC2B2AE3D27D4EB4F):
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * sh.powers(base, len(raw)), out=total[1:])
-            keys.append(sh.mix((total[place + LENGTH] - total[place]) * sh.powers(pow(base, -1, 1 << 64), len(raw))[place]).view(np.int64))
-        yield pd.DataFrame({"doc": part["doc"].to_numpy()[row], "lo": start.astype(np.int32), "n": np.int32(1), "k1": keys[0], "k2": keys[1]})
+    return _repeated(found)
 
 
 def covered(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -294,8 +331,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = texts.repartition(parallel, "a").sortWithinPartitions("a", "doc", "lo").mapInPandas(_compare, REPEATS)
     found = scratch.table(found, "repeats")
     keyed = found.filter("k1 IS NOT NULL")
-    earliest = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    split = keyed.join(earliest, ["k1", "k2"]).filter("struct(doc, lo) <> e").select("doc", "lo", "n")
+    earliest = keyed.groupBy("k1").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    split = keyed.join(earliest, "k1").filter("struct(doc, lo) <> e").select("doc", "lo", "n")
     spans = marks.filter("NOT open").select("doc", "lo", "n").unionByName(found.filter("k1 IS NULL").select("doc", "lo", "n")).unionByName(split)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     return rows.join(status, ["doc", "md5"]), spans
