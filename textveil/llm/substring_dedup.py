@@ -164,7 +164,7 @@ def refine(raw: np.ndarray) -> np.ndarray:
 
 def _buckets(keys: np.ndarray) -> np.ndarray:
     """A number for each value that occurs more than once, -1 for others."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # any order of equals will do
     sorted_ = keys[order]
     new = np.r_[True, sorted_[1:] != sorted_[:-1]]
     alone = new & np.r_[new[1:], True]
