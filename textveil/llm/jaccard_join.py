@@ -46,6 +46,7 @@ from textveil.llm.components import components
 PERCENT = 80
 SKETCH_WORDS = 16  # of 64 bits
 BLOCK = 512
+SMALL = 48
 
 
 def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -142,33 +143,49 @@ def _repeats(key: str, columns: list[str]):
 
 def _leftovers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (sig, doc, comp, n, sketch) sorted by sig: pairs of different components
-    that sizes and sketches allow."""
-
-    def group(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        comp, doc, n = g["comp"].to_numpy(), g["doc"].to_numpy(), g["n"].to_numpy()
-        bits = np.stack([np.frombuffer(s, "<u8") for s in g["sketch"]])
-        for a in range(0, len(g), BLOCK):
-            for b in range(a, len(g), BLOCK):
-                i, j = np.nonzero(
-                    (comp[a : a + BLOCK, None] != comp[None, b : b + BLOCK])
-                    & (100 * np.minimum(n[a : a + BLOCK, None], n[None, b : b + BLOCK]) >= PERCENT * np.maximum(n[a : a + BLOCK, None], n[None, b : b + BLOCK]))
-                )
-                keep = i + a < j + b
-                i, j = i[keep] + a, j[keep] + b
-                far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                near = far * (100 + PERCENT) <= (n[i] + n[j]) * (100 - PERCENT)
-                if near.any():
-                    yield pd.DataFrame({"x": np.minimum(doc[i], doc[j])[near], "y": np.maximum(doc[i], doc[j])[near]})
-
+    that sizes and sketches allow. Small groups are compared all at once, row by row
+    at every distance; larger ones in blocks."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
-        for _, g in pdf.groupby("sig", sort=False):
-            if held and held[0]["sig"].iloc[0] != g["sig"].iloc[0]:
-                yield from group(pd.concat(held, ignore_index=True))
-                held = []
-            held.append(g)
+        if not len(pdf):
+            continue
+        sig = pdf["sig"].to_numpy()
+        if held and (sig == held[0]["sig"].iloc[0]).all():
+            held.append(pdf)
+            continue
+        last = int(np.searchsorted(sig, sig[-1]))
+        yield from _across(pd.concat([*held, pdf.iloc[:last]], ignore_index=True))
+        held = [pdf.iloc[last:]]
     if held:
-        yield from group(pd.concat(held, ignore_index=True))
+        yield from _across(pd.concat(held, ignore_index=True))
+
+
+def _across(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    sig, comp, doc, n = (rows[c].to_numpy() for c in ("sig", "comp", "doc", "n"))
+    bits = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), SKETCH_WORDS)
+
+    def near(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[keep], j[keep]
+        far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        keep = far * (100 + PERCENT) <= (n[i] + n[j]) * (100 - PERCENT)
+        return pd.DataFrame({"x": np.minimum(doc[i], doc[j])[keep], "y": np.maximum(doc[i], doc[j])[keep]})
+
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    lengths = np.diff(np.r_[starts, len(sig)])
+    small = np.repeat(lengths <= SMALL, lengths)
+    for distance in range(1, min(SMALL, len(sig))):
+        i = np.flatnonzero((sig[distance:] == sig[:-distance]) & small[:-distance])
+        if not len(i):
+            break
+        yield near(i, i + distance)
+    for start, length in zip(starts[lengths > SMALL], lengths[lengths > SMALL], strict=True):
+        for a in range(0, length, BLOCK):
+            for b in range(a, length, BLOCK):
+                i, j = np.meshgrid(np.arange(a, min(a + BLOCK, length)), np.arange(b, min(b + BLOCK, length)), indexing="ij")
+                keep = (i < j) & (comp[start + i] != comp[start + j])
+                if keep.any():
+                    yield near(start + i[keep], start + j[keep])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
