@@ -146,7 +146,7 @@ def fingerprint(text: Column, extra: Column | str = "") -> Column:
 def json_inner(value: Column) -> Column:
     """The text as inside a JSON string, without the quotes; non-ASCII stays."""
     quoted = F.to_json(F.struct(value.alias("v")))
-    return F.substr(quoted, F.lit(7), F.length(quoted) - 8)
+    return F.when(value.isNotNull(), F.substr(quoted, F.lit(7), F.length(quoted) - 8))
 
 
 # Severity and label of the known types; others are medium, labelled by their code.
