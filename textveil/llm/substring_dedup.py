@@ -85,10 +85,17 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return hashes[mark].view(np.int64), run.view(np.int64), text, lo - starts[text], count
 
 
+RUNS = "a long, c long, doc long, lo int, n short, known boolean"
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, c, doc, lo, n) of documents (doc, text)."""
+    """(a, c, doc, lo, n, known) of documents (doc, text).
+
+    Of equal runs in a batch the earliest goes to its anchor; the others are known to
+    repeat and go anywhere, so a passage of a third of all texts fills no one's task.
+    """
     for pdf in batches:
-        at = 0
+        at, found = 0, []
         for part in sh.chunks((t.encode() for t in pdf["text"]), SLICE // 8):
             docs = pdf["doc"].to_numpy()[at : at + len(part)]
             at += len(part)
@@ -102,7 +109,15 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, c, text, lo, n = anchors(raw, starts, ends)
                 skipped = np.maximum(first - (np.cumsum(sizes) - sizes), 0)
                 if len(a):
-                    yield pd.DataFrame({"a": a, "c": c, "doc": docs[text], "lo": (lo + skipped[text]).astype(np.int32), "n": n.astype(np.int16)})
+                    found.append((a, c, docs[text], (lo + skipped[text]).astype(np.int32), n.astype(np.int16)))
+        if found:
+            a, c, doc, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((lo, doc, c, a))
+            a, c, doc, lo, n = (x[order] for x in (a, c, doc, lo, n))
+            known = np.r_[False, (a[1:] == a[:-1]) & (c[1:] == c[:-1])]
+            a = np.where(known, sh.mix(doc.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64), a)
+            for k in range(0, len(a), 50_000):
+                yield pd.DataFrame({"a": a[k : k + 50_000], "c": c[k : k + 50_000], "doc": doc[k : k + 50_000], "lo": lo[k : k + 50_000], "n": n[k : k + 50_000], "known": known[k : k + 50_000]})
 
 
 MARKS = "doc long, lo int, n int, a long, open boolean"
@@ -114,6 +129,10 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: pd.DataFrame | None = None  # the first row of the open (a, c)
     told = False  # whether it went out as open
     for pdf in batches:
+        sure = pdf["known"].to_numpy(bool)
+        if sure.any():
+            yield pdf.loc[sure, ["doc", "lo", "n", "a"]].assign(open=False)
+            pdf = pdf[~sure]
         if not len(pdf):
             continue
         k = 0
@@ -321,7 +340,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = status.filter("main AND NOT whole").select("doc", "md5")
 
     compared = rows.join(chosen, ["doc", "md5"], "left_semi")
-    runs = compared.select("doc", "text").mapInPandas(_runs, "a long, c long, doc long, lo int, n short")
+    runs = compared.select("doc", "text").mapInPandas(_runs, RUNS)
     marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "lo").mapInPandas(_settle, MARKS)
     marks = scratch.table(marks, "marks")
 
