@@ -5,7 +5,8 @@ hashed into DIMS counts; log(1 + count) times IDF, normalised. Each language has
 several centroids (spherical k-means over a bounded sample of its labelled rows);
 a text gets the language of the centroid nearest by cosine. A text whose cosine
 is below a share of the least cosine that the centroid's own sample shows is
-rejected: too far from all that was learned. All of a text counts, at scoring.
+rejected: too far from all that was learned. Texts under SURE letters, whose cosine
+tells little, aren't rejected. All of a text counts, at scoring.
 
 Defined results: null, empty and letterless texts are `und`, score 0, rejected;
 if no labelled row has a letter, every text is; rows that repeat count each; null
@@ -29,6 +30,7 @@ DIMS = 4096
 CENTROIDS = 3
 SAMPLE = 800  # labelled rows a language, about
 REJECT = 0.25  # of the 0.5 % quantile of the cosines in the sample
+SURE = 24  # letters
 CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 
@@ -88,10 +90,11 @@ class Model:
             if some.any():
                 cosine = self.vectors(found) @ self.centroids.T
                 best = cosine.argmax(axis=1)
+                sure = found.sum(axis=1) >= 3 * SURE  # three n-grams a letter
             for i in range(end - at):
                 if some[i]:
                     score = float(min(1.0, max(0.0, cosine[i, best[i]])))
-                    out.append((self.languages[best[i]], score, score < self.floors[best[i]]))
+                    out.append((self.languages[best[i]], score, bool(sure[i] and score < self.floors[best[i]])))
                 else:
                     out.append((UNKNOWN, 0.0, True))
             at = end
