@@ -32,8 +32,11 @@ TAX_WEIGHTS = (1, 2, 1, 2, 1, 2, 4, 1)
 
 
 def normalize_fullwidth(text: Column) -> Column:
-    """Full-width ASCII letters and digits as ordinary ones; the length stays."""
-    return F.translate(text, _FULL, _HALF)
+    """Full-width ASCII letters and digits as ordinary ones; the length stays.
+
+    Texts without any (nearly all) are only searched, not translated letter by letter.
+    """
+    return F.when(text.rlike(f"[{_FULL[0]}-{_FULL[-1]}]"), F.translate(text, _FULL, _HALF)).otherwise(text)
 
 
 def strip(text: Column) -> Column:

@@ -99,13 +99,27 @@ def detect_api_key(text: Column) -> Column:
     return _spans(kept, "API_KEY", KEY_CONFIDENCE)
 
 
-def rule_spans(text: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
-    """All detectors' spans of a text, in the detectors' order, not arbitrated."""
-    plain = t.normalize_fullwidth(F.coalesce(text, F.lit("")))
+def rule_spans(text: Column, detectors: tuple[Detector, ...] = DETECTORS, plain: Column | None = None) -> Column:
+    """All detectors' spans of a text, in the detectors' order, not arbitrated.
+
+    plain: the normalised text, where it is a column already.
+    """
+    plain = t.normalize_fullwidth(F.coalesce(text, F.lit(""))) if plain is None else plain
     found = F.concat(*(detect(plain, d) for d in detectors), detect_api_key(plain))
     return sp.reslice(found, F.coalesce(text, F.lit("")))
 
 
+_columns: dict[tuple, Column] = {}
+
+
+def _built(df: DataFrame, text: str, detectors: tuple[Detector, ...]) -> Column:
+    """rule_spans over columns text and __plain: expressions cost more to build than to plan, so they are kept."""
+    key = (df.sparkSession.sparkContext.applicationId, text, detectors)
+    if key not in _columns:
+        _columns[key] = rule_spans(F.col(text), detectors, F.col("__plain"))
+    return _columns[key]
+
+
 def detect_all(
     df: DataFrame,
     text: str = "text",
@@ -120,11 +134,12 @@ def detect_all(
     extra: a column of model spans, filtered by the allowed types before arbitration;
     today: the date by which ages follow from years (the current date if None).
     """
-    found = rule_spans(F.col(text), detectors)
+    df = df.withColumn("__plain", t.normalize_fullwidth(F.coalesce(F.col(text), F.lit(""))))
+    found = _built(df, text, detectors)
     if extra:
         outside = sp.keep_allowed(F.coalesce(F.col(extra).cast(sp.SPANS), sp.none()), allowed)
         found = F.concat(found, sp.validate(outside, strict))
-    df = df.withColumn("__found", found)
+    df = df.withColumn("__found", found).drop("__plain")
     df = df.withColumn("spans", sp.renumber(sp.resolve_overlaps(F.col("__found")))).drop("__found")
     scored = r.combination_risk(F.coalesce(F.col(text), F.lit("")), F.col("spans"), today)
     return df.withColumn("__risk", scored).withColumn("combination_risk", F.when(F.col("__risk.score") > 0, F.col("__risk"))).drop("__risk")
