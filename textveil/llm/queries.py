@@ -2,7 +2,7 @@
 
 from textveil.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from textveil.llm.fingerprints import op3_fingerprints
-from textveil.llm.jaccard_join import op8_jaccard
+from textveil.llm.jaccard_join import OP8_SQL, op8_jaccard
 from textveil.llm.language import op4_language
 from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
 from textveil.llm.mixing import op1_mixing
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op2_embedding_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard": OP8_SQL}
