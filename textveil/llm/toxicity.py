@@ -2,16 +2,17 @@
 
 Tokens are the letters between white space, lower-cased, what stands between them
 dropped (i.d.i-o*t is one token) and single letters in a row joined (i d i o t).
-The kernel of a token with a landmark is the gap-weighted subsequence kernel: common subsequences, each letter or gap they span counting DECAY,
-divided by the landmark's own, so inserted letters lower it and endings don't.
-Landmarks are words and word beginnings that labelled toxic texts of the sample hold
-far oftener than others. A sentence's vector is
-the largest kernel of its tokens with each landmark, mapped by the inverse root of
-the landmarks' kernel matrix. A linear SVM (squared hinge) is trained on sentences:
-those of non-toxic texts count against; of a toxic text those count for that hold a
-landmark whole, or else the one that scores highest, chosen anew each round; and each
-of these also with its kernel values as one and two inserted letters would leave them. A text's margin is its highest sentence's; the
-score is the margin's logistic, fitted on the sample. All of a text is read.
+The kernel of a token with a landmark is the gap-weighted subsequence kernel: common
+subsequences, each letter or gap they span counting DECAY, divided by the landmark's
+own, so inserted letters lower it and endings don't. Landmarks are words and word
+beginnings that labelled toxic texts of the sample hold far oftener than others. A
+sentence's vector is the largest kernel of its tokens with each landmark, mapped by
+the inverse root of the landmarks' kernel matrix. A linear SVM (squared hinge) is
+trained on sentences: those of non-toxic texts count against; of a toxic text those
+count for that hold a landmark whole, or else the one that scores highest, chosen anew
+each round; and each of these also with its kernel values as one and two inserted
+letters would leave them. A text's margin is its highest sentence's; the score is the
+margin's logistic, fitted on the sample. All of a text is read.
 
 Defined results: null is the empty text; texts without tokens have the score of an
 empty sentence; without both labels in the sample every score is 0; rows that repeat
