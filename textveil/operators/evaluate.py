@@ -24,8 +24,8 @@ def match(pred: DataFrame, truth: DataFrame, key: str, least: float = IOU) -> Da
     p = pred.groupBy(key).agg(F.array_sort(F.collect_list(shape)).alias("p"))
     t = truth.groupBy(key).agg(F.array_sort(F.collect_list(shape)).alias("t"))
     both = p.join(t, key, "full_outer")
-    none = F.expr("array()").cast("array<struct<ord:bigint,start:bigint,end:bigint,type:string>>")
-    both = both.select(key, F.coalesce(F.col("p").cast(none_type := "array<struct<ord:bigint,start:bigint,end:bigint,type:string>>"), none).alias("p"), F.coalesce(F.col("t").cast(none_type), none).alias("t"))
+    spans = "array<struct<ord:bigint,start:bigint,end:bigint,type:string>>"
+    both = both.select(key, *(F.coalesce(F.col(c).cast(spans), F.expr("array()").cast(spans)).alias(c) for c in ("p", "t")))
 
     def step(used: Column, x: Column) -> Column:
         free = F.filter(F.col("t"), lambda g: (g["type"] == x["type"]) & ~F.array_contains(used, g["ord"]))

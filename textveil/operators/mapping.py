@@ -19,11 +19,11 @@ TOKEN = r"\[[A-Z][A-Z_]*_\p{Nd}+\]"
 MAX_TOKEN = 64
 
 
-def idle_sessions(calls: DataFrame, scope: str = "scope", ts: str = "ts", seconds: int | None = IDLE_SECONDS) -> DataFrame:
+def idle_sessions(calls: DataFrame, scope: str = "scope", ts: str = "ts", tie: str | None = None, seconds: int | None = IDLE_SECONDS) -> DataFrame:
     """calls with session: it grows by one after a gap of more than `seconds` between masking calls."""
     if not seconds:
         return calls.withColumn("session", F.lit(0).cast("long"))
-    w = Window.partitionBy(scope).orderBy(ts)
+    w = Window.partitionBy(scope).orderBy(*([ts, tie] if tie else [ts]))
     gap = F.col(ts).cast("timestamp").cast("double") - F.lag(ts).over(w).cast("timestamp").cast("double")
     return calls.withColumn("__new", F.when(gap > seconds, 1).otherwise(0)).withColumn("session", F.sum("__new").over(w).cast("long")).drop("__new")
 

@@ -341,12 +341,8 @@ def _new(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("mapping_sessions_idle", "SELECT event_id, CAST(sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)")
 def _idle(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, sf, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), "ts")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("o")
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
-    return rows.withColumn("new", F.when(gap > mapping.IDLE_SECONDS, 1).otherwise(0)).select("event_id", F.sum("new").over(w).cast("long").alias("session"))
+    rows = _table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return mapping.idle_sessions(rows, "user_id", "ts", "event_id").select("event_id", "session")
 
 
 _MASKED = f"SELECT id, CASE WHEN {p.valid('TW_ID', 'v')} THEN 'ID [TW_ID_1]' ELSE 'ID ' || v END || ' tel [TW_PHONE_M_1] mail [EMAIL_1]' AS masked, CASE WHEN {p.valid('TW_ID', 'v')} THEN 3 ELSE 2 END AS n, text FROM ({_duck(_MIX)})"
