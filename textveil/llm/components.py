@@ -41,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if at["n"] == 0 or at == before:
             break
         before = at
-        rows = scratch.table(_small(_large(rows)), "edges")
+        rows = scratch.table(_small(_large(rows)), "edges", free=False)
     roots = rows.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -34,14 +34,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again."""
+def table(df: DataFrame, name: str, partition_by: str | None = None, free: bool = True) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again.
+
+    free: what the write has shuffled is of no use any more, but Spark deletes it only
+    when the driver happens to collect its garbage; ask for that now.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
