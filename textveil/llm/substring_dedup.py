@@ -337,9 +337,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     status = known.join(single.select("doc", F.col("md5").alias("main_md5")), "doc").join(firsts, "md5", "left")
     status = status.select("doc", "md5", (F.col("md5") == F.col("main_md5")).alias("main"), F.coalesce(F.col("first") < F.col("doc"), F.lit(False)).alias("whole"))
     status = scratch.table(status, "status")
-    chosen = status.filter("main AND NOT whole").select("doc", "md5")
-
-    compared = rows.join(chosen, ["doc", "md5"], "left_semi")
+    # joined by doc alone, then filtered: what follows joins by doc, and texts move once
+    chosen = status.filter("main AND NOT whole").select("doc", F.col("md5").alias("own"))
+    compared = rows.join(chosen, "doc").filter("md5 = own").drop("own")
     runs = compared.select("doc", "text").mapInPandas(_runs, RUNS)
     marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "lo").mapInPandas(_settle, MARKS)
     marks = scratch.table(marks, "marks")
@@ -363,7 +363,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = keyed.join(earliest, "k1").filter("struct(doc, lo) <> e").select("doc", "lo", "n")
     spans = marks.filter("NOT open").select("doc", "lo", "n").unionByName(found.filter("k1 IS NULL").select("doc", "lo", "n")).unionByName(split)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    return rows.join(status, ["doc", "md5"]), spans
+    status = status.withColumnRenamed("md5", "own")
+    return rows.join(status, "doc").filter("md5 = own").drop("own"), spans
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
