@@ -347,3 +347,21 @@ def test_subsequence_kernel_against_recursion():
     for s, t in ((b"idixot", b"idiot"), (b"loweiung", b"lowei"), (b"abcabc", b"abcab")):
         got = toxicity.kernel(toxicity._rows([s], 0), toxicity._rows([t], 1), 4)[0]
         assert np.isclose(got, brute(s, t, 4), rtol=1e-4)
+
+
+def test_no_word_that_the_kernel_counts_is_filtered_out():
+    rng = np.random.default_rng(4)
+    landmarks = [b"scum", b"jerk", b"fool", b"idiot", b"moron", b"loser", b"pathetic"]
+    model = toxicity.Model(landmarks)
+    model.own = np.array([toxicity._own(z) for z in landmarks])
+    for k, z in enumerate(landmarks):
+        for many in (2, 3):
+            for _ in range(60):
+                word = z.decode()
+                for at in sorted(rng.choice(len(z) - 1, min(many, len(z) - 1), replace=False), reverse=True):
+                    word = word[: at + 1] + "qxzvwyhb"[rng.integers(8)] + word[at + 1 :]
+                want = [toxicity.kernel(toxicity._rows([word.encode()], 0), toxicity._rows([y], 1), toxicity.order_of(y))[0] / model.own[i] for i, y in enumerate(landmarks)]
+                want = np.where(np.array(want) < toxicity.LEAST, 0, want)
+                found, _ = model.sentences([word.encode()])
+                assert np.allclose(found[0] if len(found) else 0, want, rtol=1e-5), word
+                assert want[k] > 0, word

@@ -145,7 +145,25 @@ def _need(z: bytes) -> int:
     """The fewest different letter bits of a subsequence of z that counts."""
     from itertools import combinations
 
-    return min(_mask(bytes(c)).bit_count() for c in combinations(z, min(ORDER, len(z))))
+    return min(_mask(bytes(c)).bit_count() for c in combinations(z, min(order_of(z), len(z))))
+
+
+def _places(z: bytes) -> np.ndarray:
+    """Of each byte, the bits of its places in z."""
+    out = np.zeros(256, np.uint64)
+    for i, b in enumerate(z):
+        out[b] |= np.uint64(1) << np.uint64(i)
+    return out
+
+
+def _shares(words: np.ndarray, places: np.ndarray, marks: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Whether each row of words (padded with 0) and its mark have a common subsequence of
+    the mark's order: without one the kernel is 0. A bit of v falls for each letter of the longest."""
+    v = np.full(len(words), ~np.uint64(0))
+    for column in np.ascontiguousarray(words.T):
+        u = v & places[marks, column]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v) >= orders[marks]
 
 
 @dataclass
@@ -159,7 +177,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.masks = [(np.uint32(_mask(z)), _need(z)) for z in self.landmarks]
-        self.pairs = [np.uint64(_pairs_of(z)) for z in self.landmarks]
+        self.places = np.array([_places(z) for z in self.landmarks], np.uint64).reshape(-1, 256)
         self.orders = np.array([order_of(z) for z in self.landmarks], np.int64)
         self.rows = _rows(self.landmarks, 1) if self.landmarks else np.zeros((0, 0), np.uint8)
 
@@ -174,19 +192,17 @@ class Model:
             _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
             starts, sizes = t.starts[at], lengths[at]
             masks = np.bitwise_or.reduceat(_BIT[t.letters], t.starts)[at]
-            grams = np.zeros(len(t.letters), np.uint64)
-            grams[:-1] = np.uint64(1) << ((t.letters[:-1].astype(np.uint64) * np.uint64(5) + t.letters[1:] * np.uint64(11)) % np.uint64(64))
-            grams = np.bitwise_or.reduceat(grams, t.starts)[at]
             per_word = np.zeros((len(at), len(self.landmarks)), np.float32)
             near = []
             for k, (mask, need) in enumerate(self.masks):
-                near.append(np.flatnonzero((np.bitwise_count(masks & mask) >= need) & (np.bitwise_count(grams & self.pairs[k]) >= 2) & (sizes >= self.orders[k])))
+                near.append(np.flatnonzero((np.bitwise_count(masks & mask) >= need) & (sizes >= self.orders[k])))
             for order in np.unique(self.orders):
                 of = np.flatnonzero(self.orders == order)
                 mark = np.repeat(of, [len(near[k]) for k in of])
                 word = np.concatenate([near[k] for k in of])
                 sort = np.argsort(sizes[word], kind="stable")
                 mark, word = mark[sort], word[sort]
+                mark, word = self._near(t.letters, starts, sizes, mark, word)
                 edges = [0, *np.searchsorted(sizes[word], WIDTHS, side="right"), len(word)]
                 for low, high in zip(edges, edges[1:], strict=False):
                     for at in range(low, high, PAIRS):
@@ -200,6 +216,17 @@ class Model:
         keep = found.any(axis=1)
         return found[keep], t.sentence_text[keep]
 
+    def _near(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mark: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, in order of their words' sizes, whose kernel isn't 0."""
+        keep = np.zeros(len(word), bool)
+        edges = [0, *np.searchsorted(sizes[word], WIDTHS, side="right"), len(word)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            for at in range(low, high, PAIRS):
+                to = min(high, at + PAIRS)
+                w = word[at:to]
+                keep[at:to] = _shares(_padded(letters, starts[w], sizes[w]), self.places, mark[at:to], self.orders)
+        return mark[keep], word[keep]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
         found, text = self.sentences(texts)
@@ -208,15 +235,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
-def _pairs_of(z: bytes) -> int:
-    """Bits of the letter pairs that stand side by side where z is nearly whole."""
-    bits = 0
-    for gap in (1, 2):
-        for a, b in zip(z, z[gap:], strict=False):
-            bits |= 1 << ((a * 5 + b * 11) % 64)
-    return bits
-
-
 def _own(z: bytes) -> float:
     return float(kernel(_rows([z], 0), _rows([z], 1), order_of(z))[0])
 
