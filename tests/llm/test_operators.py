@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textveil.llm import embedding_dedup, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality, substring_dedup, toxicity
 
@@ -365,3 +366,20 @@ def test_no_word_that_the_kernel_counts_is_filtered_out():
                 found, _ = model.sentences([word.encode()])
                 assert np.allclose(found[0] if len(found) else 0, want, rtol=1e-5), word
                 assert want[k] > 0, word
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    known = language.learn_from(docs)
+    model = language.fit(known)
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = [" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n)) for n in (40, 100, 500) for _ in range(30)]
+    junk += ["".join(rng.choice(letters + list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 600)) for _ in range(30)]
+    junk.append("Helsinki on Suomen pääkaupunki ja maan suurin kaupunki, jossa asuu paljon ihmisiä eri puolilta maailmaa ja jossa on hyvät kulkuyhteydet muualle.")
+    assert all(r for _, _, r in model.predict(junk))
+    assert language.identify(docs.filter("text RLIKE '[a-zA-Z]'"), model).filter("__rejected").count() == 0
+    for left_out in ("de", "es", "fr"):  # rows of other languages hold English
+        other = language.fit(known.filter(F.col("lang") != left_out))
+        got = language.identify(docs.filter((F.col("lang") == left_out) & (F.length("text") > 600)), other).agg(F.avg(F.col("__rejected").cast("int")).alias("r")).first().r
+        assert got > 0.8, left_out

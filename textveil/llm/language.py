@@ -4,9 +4,10 @@ Letters of a text, lower-cased, give n-grams of one to three with word edges,
 hashed into DIMS counts; log(1 + count) times IDF, normalised. Each language has
 several centroids (spherical k-means over a bounded sample of its labelled rows);
 a text gets the language of the centroid nearest by cosine. A text whose cosine
-is below a share of the least cosine that the centroid's own sample shows is
+is below a share of the least cosine that the language's own sample shows is
 rejected: too far from all that was learned. Texts under SURE letters, whose cosine
-tells little, aren't rejected. All of a text counts, at scoring.
+tells little, aren't rejected and set no floor, unless the sample has no others. All
+of a text counts, at scoring.
 
 Defined results: null, empty and letterless texts are `und`, score 0, rejected;
 if no labelled row has a letter, every text is; rows that repeat count each; null
@@ -29,8 +30,8 @@ from textveil.llm import samples
 DIMS = 4096
 CENTROIDS = 3
 SAMPLE = 800  # labelled rows a language, about
-REJECT = 0.25  # of the 0.5 % quantile of the cosines in the sample
-SURE = 24  # letters
+REJECT = 0.6  # of the 0.5 % quantile of the cosines in the language's sample
+SURE = 100  # letters
 CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 
@@ -70,7 +71,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # IDF-weighted, unit rows
     idf: np.ndarray
-    floors: np.ndarray  # cosines below are rejected
+    floors: np.ndarray  # of each centroid's language: cosines below are rejected
 
     def vectors(self, found: np.ndarray) -> np.ndarray:
         v = np.log1p(found) * self.idf
@@ -138,11 +139,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     parts, floors = [], []
     for lang in sorted(set(langs)):
         v = vectors[langs == lang]
-        centres, own = _k_means(v, centroids)
-        for j in range(len(centres)):
-            inside = (v[own == j] @ centres[j]) if (own == j).any() else v @ centres[j]
-            floors.append(REJECT * float(np.quantile(inside, 0.005)))
-            model.languages.append(lang)
+        centres, _ = _k_means(v, centroids)
+        long = found[langs == lang].sum(axis=1) >= 3 * SURE
+        inside = ((v[long] if long.any() else v) @ centres.T).max(axis=1)
+        floors += [REJECT * float(np.quantile(inside, 0.005))] * len(centres)
+        model.languages += [lang] * len(centres)
         parts.append(centres)
     if parts:
         model.centroids, model.floors = np.concatenate(parts).astype(np.float32), np.array(floors)
