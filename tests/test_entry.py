@@ -1,9 +1,13 @@
 """Registered queries: names, and a few against the other engine."""
 
+import json
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from textveil.functions import text
 from textveil.functions.register import register
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +39,12 @@ def test_sql_functions(spark):
     assert len(names) == 5
     got = spark.sql("SELECT is_valid_credit_card('4111 1111 1111 1111') AS a, is_valid_email('x') AS b, is_valid_tw_phone_m('0912-345678') AS c, is_valid_tw_nhi(NULL) AS d").first()
     assert tuple(got) == (True, False, True, False)
+
+
+def test_json_of_whole_pages(spark):
+    html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r.page_id: r.inner_json for r in entry.queries()["json_inner_pages"](spark, "/root/testdata/sf0.01").collect()}
+    assert {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in html.items()} == got and max(map(len, html.values())) > 400
+    odd = ["x" * 500 + "".join(map(chr, range(128))), "é\u2028" * 300 + '\\"\n', "</script>" * 99, "\x00", ""]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, v string").select("id", text.json_inner(F.col("v")).alias("j")).collect()
+    assert all(json.loads(f'"{r.j}"') == odd[r.id] for r in rows)  # strict: no raw control characters

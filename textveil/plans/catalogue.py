@@ -115,6 +115,11 @@ def _json(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", t.json_inner(F.substr("html", F.lit(1), F.lit(400))).alias("inner_json"))
 
 
+@_add("json_inner_pages")  # json_inner takes beginnings, as its SQL does
+def _json_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", t.json_inner(F.col("html")).alias("inner_json"))
+
+
 @_add("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
 def _html(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", t.escape_html(F.col("html")).alias("safe"))
