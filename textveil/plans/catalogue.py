@@ -190,6 +190,21 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return document_spans(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same with all detectors, arbitrated; the checking engine's patterns can't express them.
+
+
+@_add("document_spans_all")
+def document_spans_all(spark: SparkSession, sf: str) -> DataFrame:
+    docs = detect.detect_all(_table(spark, sf, "documents").select("doc_id", "text"), today=TODAY)
+    rows = sp.exploded(docs.select("doc_id", "spans"), "spans", "doc_id")
+    return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), F.col("type").alias("kind"), "text", "replacement")
+
+
+@_add("type_summary_all")
+def _summary_all(spark: SparkSession, sf: str) -> DataFrame:
+    return document_spans_all(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Three spans a row, by arithmetic of the key.
 _THREE = """SELECT c_custkey AS id, CAST(c_custkey % 7 AS INT) AS s1, CAST(c_custkey % 7 + 3 + c_custkey % 4 AS INT) AS e1,
   CAST(2 + c_custkey % 5 AS INT) AS s2, CAST(6 + c_custkey % 5 AS INT) AS e2,
@@ -401,6 +416,14 @@ def _memo(spark: SparkSession, sf: str) -> DataFrame:
     return texts.memoised(_table(spark, sf, "documents").select("doc_id", "text"), "text", count).filter("n > 0").select("doc_id", "n")
 
 
+@_add("memoised_detect_all")
+def _memo_all(spark: SparkSession, sf: str) -> DataFrame:
+    def count(df: DataFrame, text: str) -> DataFrame:
+        return detect.detect_all(df, text, today=TODAY).withColumn("n", F.size("spans").cast("long")).drop("spans", "combination_risk")
+
+    return texts.memoised(_table(spark, sf, "documents").select("doc_id", "text"), "text", count).filter("n > 0").select("doc_id", "n")
+
+
 @_add("traffic_snapshot", "SELECT event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, CAST(epoch(TIMESTAMP '2026-01-01') - epoch(max(ts)) AS DOUBLE) AS idle FROM events GROUP BY event_type")
 def _traffic(spark: SparkSession, sf: str) -> DataFrame:
     rows = texts.traffic(_table(spark, sf, "events"), F.lit("2026-01-01 00:00:00").cast("timestamp"), by=["event_type"])
