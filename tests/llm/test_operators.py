@@ -383,3 +383,15 @@ def test_language_rejects_what_it_has_not_learned(spark):
         other = language.fit(known.filter(F.col("lang") != left_out))
         got = language.identify(docs.filter((F.col("lang") == left_out) & (F.length("text") > 600)), other).agg(F.avg(F.col("__rejected").cast("int")).alias("r")).first().r
         assert got > 0.8, left_out
+
+
+def test_packing_keeps_ids_of_large_vocabularies(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "small": 5, "big": 70_000}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "large.json"))
+    table = spark.createDataFrame([(1, "small big big"), (2, "big")], "doc_id long, text string")
+    for r in rows(packing.pack(table, str(tmp_path / "large.json"))):
+        want = np.array([5, 70_000, 70_000, 2] if r["doc_id"] == 1 else [70_000, 2], "<u4")[r["start"] : r["start"] + r["length"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want.tolist() and r["ids_crc32"] == zlib.crc32(want.tobytes())

@@ -11,7 +11,7 @@ step groups of about equal token counts.
 
 Defined results: null text is the empty text (its end id alone); rows that repeat
 a doc_id are packed each; an empty table gives no rows; other columns are not
-read. Memory: one bucket's ids (2 bytes each) in one task; a document longer than
+read. Memory: one bucket's ids (2 bytes each, 4 for larger vocabularies) in one task; a document longer than
 a bucket makes its bucket that much larger.
 """
 
@@ -63,6 +63,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size, self.parts = size, {}
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         self.chars = _byte_chars()
         probe = "déjà vu, the façade... naïve!! größe"
         self.direct = [i for w in probe.split() for i in np.frombuffer(self._of_word(w), "<u4")] == self.tokenizer.encode(probe, add_special_tokens=False).ids
@@ -174,7 +175,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
         for pdf in batches:
             packed = [words.of_text(t or "") + end for t in pdf["text"]]
             n = [len(p) // 4 for p in packed]
-            narrow = [np.frombuffer(p, "<u4").astype("<u2").tobytes() for p in packed]
+            width = "<u2" if max(words.largest, end_id) < 1 << 16 else "<u4"
+            narrow = [np.frombuffer(p, "<u4").astype(width).tobytes() for p in packed]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids": narrow})
 
     rows = docs.select(ids.filled(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -192,7 +194,7 @@ def pack(
     step_tokens: int = STEP_TOKENS,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row for each piece of a document in a sequence; ids: that piece's, unsigned 16-bit."""
+    """One row for each piece of a document in a sequence; ids: that piece's, as in tokenized()."""
     size = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(1, -(-((size["b"] or 0) + 8 * size["n"]) // bucket_bytes))
 
@@ -206,8 +208,9 @@ def pack(
             group = (bucket << 32) + seen // step_tokens
             tier = next(t for t in tiers if t >= total)
             for doc, start, n in sequence:
-                part = blobs[doc][2 * start : 2 * (start + n)]
-                crc = zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes())
+                width = len(blobs[doc]) // lengths[doc]  # bytes an id
+                part = blobs[doc][width * start : width * (start + n)]
+                crc = zlib.crc32(np.frombuffer(part, f"<u{width}").astype("<u4").tobytes())
                 out.append((docs_of[doc], start, n, crc, lengths[doc], (bucket << 32) + number, at, total, tier, group, part if with_ids else None))
                 at += n
             seen += total
