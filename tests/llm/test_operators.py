@@ -395,3 +395,9 @@ def test_packing_keeps_ids_of_large_vocabularies(spark, tmp_path):
     for r in rows(packing.pack(table, str(tmp_path / "large.json"))):
         want = np.array([5, 70_000, 70_000, 2] if r["doc_id"] == 1 else [70_000, 2], "<u4")[r["start"] : r["start"] + r["length"]]
         assert np.frombuffer(r["ids"], "<u4").tolist() == want.tolist() and r["ids_crc32"] == zlib.crc32(want.tobytes())
+
+
+def test_plan_is_best_fit_over_all_rooms():
+    # best fit puts 200 beside 300, and 162 and 100 beside 250, whose rooms are 100 and 0 more
+    plan = packing.plan([300, 250, 200, 100, 162], (512,))
+    assert [[d for d, _, _ in q] for q in plan if sum(n for _, _, n in q) == 512] == [[1, 4, 3]]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,13 +125,19 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS, least: int = LEAST)
     shorter: list[tuple[int, int, int]] = []  # waits to fill gaps, longest last
     for t in tiers:  # the shortest tier first: what it can't fill goes up
         open_windows: dict[int, list[list[tuple[int, int, int]]]] = {}
+        rooms: list[int] = []  # of the open windows, sorted
         for piece in sorted(routed[t], key=lambda p: (-p[2], p[0])):
             # best fit: the window with the least room that still holds the piece
-            room = next((r for r in range(piece[2], min(t, piece[2] + 64)) if open_windows.get(r)), None)
+            at = bisect_left(rooms, piece[2])
+            room = rooms[at] if at < len(rooms) else None
             window = open_windows[room].pop() if room else []
+            if room and not open_windows[room]:
+                del rooms[at], open_windows[room]
             left = (room or t) - piece[2]
             window.append(piece)
             if left:
+                if left not in open_windows:
+                    insort(rooms, left)
                 open_windows.setdefault(left, []).append(window)
             else:
                 sequences.append(window)
