@@ -1,4 +1,5 @@
-"""Sends this package to the executors' Python workers, once for each context."""
+"""Prepares a session: sends this package to the executors' Python workers, once for
+each context, and bounds what they get at once by bytes (texts differ much in length)."""
 
 from __future__ import annotations
 
@@ -8,11 +9,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
+    if not context.getConf().contains(_LIMIT):  # the caller's own limit stands
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     if context.applicationId in _sent:
         return
     root = Path(__file__).resolve().parent
