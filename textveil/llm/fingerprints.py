@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids
+from textveil.llm import ids, workers
 from textveil.llm import shingles as sh
 
 BINS = 256
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 got += packed(signatures(part)[0])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": got})
 
-    return docs.select(ids.filled(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fingerprint string").withColumn("doc_id", ids.emptied("doc_id"))
+    return docs.select(ids.filled(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(workers.lean(run), "doc_id long, fingerprint string").withColumn("doc_id", ids.emptied("doc_id"))
 
 
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -153,7 +153,7 @@ def fingerprint_edits(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Data
     own = rows.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.lit(False).alias("handed"))
     handed = rows.join(dim, rows["doc_id"] == dim["first"]).select("doc_id", "text", "bucket", F.lit(True).alias("handed"))
     dealt = own.unionByName(handed).repartitionById(max(1, n), "bucket")
-    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(_stream, NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
+    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(workers.lean(_stream), NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import samples
+from textveil.llm import samples, workers
 
 DIMS = 4096
 CENTROIDS = 3
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
                 if len(cells):
                     yield pd.DataFrame({"lang": [lang], "cells": [cells.astype("<u2").tobytes()], "n": [got[cells].astype("<f4").tobytes()]})
 
-    got = picked.mapInPandas(run, "lang string, cells binary, n binary").collect()
+    got = picked.mapInPandas(workers.lean(run), "lang string, cells binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], r["cells"], r["n"]))
     found = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
@@ -154,9 +154,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with __lang, __score and __rejected; the other columns are kept as they are."""
 
     @F.pandas_udf("lang string, score double, rejected boolean")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        got = model.predict([None if t is None else t for t in texts])
-        return pd.DataFrame(got, columns=["lang", "score", "rejected"])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                yield pd.DataFrame(model.predict([None if t is None else t for t in texts]), columns=["lang", "score", "rejected"])
+        finally:
+            workers.give_back()
 
     return docs.withColumn("__l", of(text)).withColumns({"__lang": F.col("__l.lang"), "__score": F.col("__l.score"), "__rejected": F.col("__l.rejected")}).drop("__l")
 

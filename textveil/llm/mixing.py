@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textveil.llm import scratch
+from textveil.llm import scratch, workers
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -166,7 +166,7 @@ def slots(spark: SparkSession, sources: list[Source], block: int = BLOCK_WORDS,
                 out.insert(0, "shard", shard)
                 yield out
 
-    return spark.range(shards).mapInPandas(run, "shard long, slot long, source_no int, epoch long, block long, take long")
+    return spark.range(shards).mapInPandas(workers.lean(run), "shard long, slot long, source_no int, epoch long, block long, take long")
 
 
 def _copy_no(columns: list[Column]) -> Column:

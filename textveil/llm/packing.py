@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids
+from textveil.llm import ids, workers
 
 TIERS = (512, 1024, 2048, 4096)
 LEAST = 16  # the smallest window that a bucket's last ids are cut to
@@ -187,7 +187,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids": narrow})
 
     rows = docs.select(ids.filled(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInPandas(workers.lean(run), "doc_id long, n_tokens long, ids binary")
 
 
 def pack(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids, samples
+from textveil.llm import ids, samples, workers
 from textveil.llm import shingles as sh
 
 WORDS = 1 << 14
@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, metadata: tuple[str, ...] = (), sample: int = SAMPL
                 })
 
     rows = labelled.select("label", "text", *_meta(metadata))
-    got = rows.mapInPandas(run, "label int, cells binary, stats binary").collect()
+    got = rows.mapInPandas(workers.lean(run), "label int, cells binary, stats binary").collect()
     got.sort(key=lambda r: (r["label"], r["stats"], r["cells"]))
     model = Machine(len(metadata))
     if got:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Machine, metadata: tuple[str, ...] = ()) -> Da
             got = [model.score(n, row, cell, value, stats) for _, n, row, cell, value, stats in _chunked(pdf, metadata)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(got) if got else []})
 
-    return docs.select(ids.filled("doc_id"), "text", *_meta(metadata)).mapInPandas(run, "doc_id long, score double").withColumn("doc_id", ids.emptied("doc_id"))
+    return docs.select(ids.filled("doc_id"), "text", *_meta(metadata)).mapInPandas(workers.lean(run), "doc_id long, score double").withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int, folds: int = 5, held: int = 0) -> DataFrame:

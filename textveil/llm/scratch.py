@@ -1,8 +1,9 @@
 """Tables that cut lineage, written to the folder the cluster shares.
 
-The folder is spark.checkpoint.dir of the session. Where it is unset (tests,
-single machine) a folder of our own is set. Each table gets a fresh name, so a
-rerun never reads an older run's rows; release() deletes what a session wrote.
+The folder is spark.checkpoint.dir of the session. Where it is unset a folder of our
+own is set, on a single machine only: on a cluster every executor would write to its
+own disk. Each table gets a fresh name, so a rerun never reads an older run's rows.
+drop() deletes a table that nothing reads any more; release() those of a session.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+GROUP_BYTES = 16 << 20  # of Parquet's row groups: what a writing task holds in memory
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
+        elif spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             at = tempfile.mkdtemp(prefix="textveil-checkpoints-")
             spark.sparkContext.setCheckpointDir(at)
@@ -34,27 +39,60 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str, partition_by: str | None = None, free: bool = True) -> DataFrame:
+def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
-    free: what the write has shuffled is of no use any more, but Spark deletes it only
-    when the driver happens to collect its garbage; ask for that now.
+    Spark deletes the shuffle files of the write as it ends: the table stands for them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write
+    writer = df.write.option("parquet.block.size", GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this process wrote; frames read from them end with it."""
+def mark() -> int:
+    """A place in the list of written tables, for since()."""
+    return len(_written)
+
+
+def since(place: int) -> list[str]:
+    return _written[place:]
+
+
+def _reads(df: DataFrame) -> set[str]:
+    """The folders under the shared one that df reads."""
+    return {part for file in df.inputFiles() for part in file.split("/") if part.startswith("textveil-")}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that were written here and that nothing reads any more."""
+    for df in tables:
+        own = _reads(df)
+        _delete(df.sparkSession, [p for p in _written if p.split("/")[-2] in own])
+
+
+def release(spark: SparkSession, paths: list[str] | None = None, but: DataFrame | None = None) -> None:
+    """Delete the tables that this process wrote, or these; frames read from them end with it.
+
+    but: nothing is deleted of what this frame reads.
+    """
+    kept = _reads(but) if but is not None else set()
+    _delete(spark, [p for p in (_written if paths is None else paths) if p.split("/")[-2] not in kept])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
-        path.getFileSystem(conf).delete(path, True)
+    for path in list(paths):
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+        if path in _written:
+            _written.remove(path)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids, scratch
+from textveil.llm import ids, scratch, workers
 from textveil.llm import shingles as sh
 
 LENGTH = 100
@@ -340,8 +340,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # joined by doc alone, then filtered: what follows joins by doc, and texts move once
     chosen = status.filter("main AND NOT whole").select("doc", F.col("md5").alias("own"))
     compared = rows.join(chosen, "doc").filter("md5 = own").drop("own")
-    runs = compared.select("doc", "text").mapInPandas(_runs, RUNS)
-    marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "lo").mapInPandas(_settle, MARKS)
+    runs = compared.select("doc", "text").mapInPandas(workers.lean(_runs), RUNS)
+    marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "lo").mapInPandas(workers.lean(_settle), MARKS)
     marks = scratch.table(marks, "marks")
 
     wanted = marks.filter("open").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
@@ -355,8 +355,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     "bytes": [raw[r["lo"] : r["lo"] + r["n"] - 1 + LENGTH] for r in of],
                 })
 
-    texts = compared.join(wanted, "doc").mapInPandas(cut, "a long, doc long, lo int, n int, bytes binary")
-    found = texts.repartition(parallel, "a").sortWithinPartitions("a", "doc", "lo").mapInPandas(_compare, REPEATS)
+    texts = compared.join(wanted, "doc").mapInPandas(workers.lean(cut), "a long, doc long, lo int, n int, bytes binary")
+    found = texts.repartition(parallel, "a").sortWithinPartitions("a", "doc", "lo").mapInPandas(workers.lean(_compare), REPEATS)
     found = scratch.table(found, "repeats")
     keyed = found.filter("k1 IS NOT NULL")
     earliest = keyed.groupBy("k1").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1")
@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     out.append((doc, len(raw), int(gone.sum()), edges, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(spans, "doc", "left").mapInPandas(run, RESULT).withColumn("doc_id", ids.emptied("doc_id"))
+    return rows.join(spans, "doc", "left").mapInPandas(workers.lean(run), RESULT).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

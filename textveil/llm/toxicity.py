@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids, samples
+from textveil.llm import ids, samples, workers
 from textveil.llm import shingles as sh
 from textveil.llm.quality import labelled_sample
 
@@ -261,7 +261,7 @@ def candidates(sample: DataFrame) -> DataFrame:
                             found.add(w)
                 yield pd.DataFrame({"label": [label], "least": [int(least.min().astype(np.int64)) if len(least) else 0], "pieces": [[p.decode("latin-1") for p in sorted(found)]]})
 
-    texts = sample.select("label", "text").mapInPandas(run, "label int, least long, pieces array<string>")
+    texts = sample.select("label", "text").mapInPandas(workers.lean(run), "label int, least long, pieces array<string>")
     texts = texts.groupBy("label", "least").agg(F.max("pieces").alias("pieces"))
     return texts.select("label", F.explode("pieces").alias("piece")).groupBy("piece").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
@@ -334,7 +334,7 @@ def fit(sample: DataFrame) -> Model:
                 yield pd.DataFrame({"label": pdf["label"].iloc[at : at + len(part)].to_numpy(), "rows": [found[text == i].astype("<f4").tobytes() for i in range(len(part))]})
                 at += len(part)
 
-    got = sorted((r["label"], bytes(r["rows"])) for r in sample.select("label", "text").mapInPandas(run, "label int, rows binary").collect())
+    got = sorted((r["label"], bytes(r["rows"])) for r in sample.select("label", "text").mapInPandas(workers.lean(run), "label int, rows binary").collect())
     bags = [(label, np.frombuffer(rows, "<f4").reshape(-1, len(landmarks)).astype(float)) for label, rows in got]
     cross = np.array([[kernel(_rows([a], 0), _rows([b], 1), order_of(b))[0] for b in landmarks] for a in landmarks], float)
     cross /= np.sqrt(np.outer(model.own, model.own))
@@ -370,7 +370,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(got) if got else []})
 
     rows = docs.select(ids.filled("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, score double").withColumn("doc_id", ids.emptied("doc_id"))
+    return rows.mapInPandas(workers.lean(run), "doc_id long, score double").withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
