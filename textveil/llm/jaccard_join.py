@@ -4,10 +4,12 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
 link when 100 * |intersection| >= 80 * |union|.
 
 1. Equal sets form a class; its least doc_id stands for it.
-2. Of the p = |x| - ceil(0.8 |x|) + 1 least shingle hashes of a class that links, one
-   at least is among those of the other class, about 0.88 p are. A class of which fewer
-   than max(1, 0.35 p - 4) are among those of any other class goes no further: over the
-   choice of the hash, this loses a link with a probability under 10^-11.
+2. A class of n shingles has t = ceil(0.8 n) at least in common with a class that it
+   links with, so the l-th of these in order of hashes is among the n - t + l least of
+   its own, for any l. Every class sends that many, with l = l(n) = max(1, n // LEAD). The
+   other class has t shingles at least, and so l(t) of the class's own are among those
+   that the other sends. A class of which fewer than l(t) are sent by any other links
+   with none, and goes no further. No link is lost.
 3. PartEnum: sizes fall into bands (l, l / 0.8); linked sets lie in one band or in
    adjacent ones, and differ in k = (r_i + r_(i+1)) / 9 shingles at most. For each
    family i (bands i and i+1) the domain of shingles is cut into n1 partitions of n2
@@ -39,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import ids, scratch
+from textveil.llm import ids, scratch, workers
 from textveil.llm import shingles as sh
 from textveil.llm.components import components
 
@@ -47,6 +49,8 @@ PERCENT = 80
 SKETCH_WORDS = 16  # of 64 bits
 BLOCK = 512
 SMALL = 48
+LEAD = 16
+SIGNED = 200_000  # signatures in a batch
 
 
 def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -59,6 +63,11 @@ def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
             at = end
 
 
+def lead(n: int, percent: int = PERCENT) -> int:
+    """How many of the least hashes of a set of n are sent to tell classes that may link."""
+    return n - -(-percent * n // 100) + max(1, n // LEAD) if n else 0
+
+
 def sketch(values: np.ndarray) -> np.ndarray:
     """Parities of the number of shingles that fall on each of the bits."""
     bits = np.bincount((sh.mix(values ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
@@ -209,38 +218,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 n.append(len(s))
                 h1.append(int(sh.mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(sh.mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64)))
-                prefix.append(s[: len(s) - -(-PERCENT * len(s) // 100) + 1].view(np.int64))
+                prefix.append(s[: lead(len(s))].view(np.int64))
             yield pd.DataFrame({"doc": pdf["doc"], "n": n, "h1": h1, "h2": h2, "prefix": prefix})
 
-    known = scratch.table(rows.mapInPandas(describe, "doc long, n long, h1 long, h2 long, prefix array<long>"), "described")
+    described = scratch.table(rows.mapInPandas(workers.lean(describe), "doc long, n long, h1 long, h2 long, prefix array<long>"), "described")
+    known = scratch.table(described.drop("prefix"), "known")
     named = known.filter((F.col("n") > 0) & (F.col("doc") != ids.NONE))
     classes = named.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
     classes = scratch.table(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc"))
-    prefixes = named.join(reps, "doc", "left_semi").select(F.explode("prefix").alias("key"), "doc")
-    # several documents share this shingle of their prefixes
-    shared = prefixes.repartition(parallel, "key").sortWithinPartitions("key", "doc").mapInPandas(_repeats("key", ["doc"]), "doc long")
+    prefixes = described.join(reps, "doc", "left_semi").select(F.explode("prefix").alias("key"), "doc")
+    # several documents have sent this shingle
+    shared = prefixes.repartition(parallel, "key").sortWithinPartitions("key", "doc").mapInPandas(workers.lean(_repeats("key", ["doc"])), "doc long")
     shared = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
-    fifth = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    shared = shared.join(named.select("doc", "n"), "doc").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(fifth * 0.35) - 4)).select("doc").distinct()
+    least = F.greatest(F.lit(1), F.expr(f"(({PERCENT} * n + 99) div 100) div {LEAD}"))
+    shared = shared.join(named.select("doc", "n"), "doc").filter(F.col("shared") >= least).select("doc").distinct()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = list(sets_of([t.encode() for t in pdf["text"]]))
             yield pd.DataFrame({"doc": pdf["doc"], "n": [len(s) for s in found], "s": [s.view(np.int64) for s in found], "sketch": [sketch(s).tobytes() for s in found]})
 
-    sets = rows.filter("text IS NOT NULL").join(shared, "doc", "left_semi").mapInPandas(build, "doc long, n long, s array<long>, sketch binary")
+    sets = rows.filter("text IS NOT NULL").join(shared, "doc", "left_semi").mapInPandas(workers.lean(build), "doc long, n long, s array<long>, sketch binary")
     sets = scratch.table(sets, "sets")
+    scratch.drop(described)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            found, docs, held = [], [], 0
             for doc, s in zip(pdf["doc"], pdf["s"], strict=True):
-                found = signatures(np.asarray(s, np.int64).view(np.uint64))
-                if len(found):
-                    yield pd.DataFrame({"sig": found.view(np.int64), "doc": doc})
-
-    signed = sets.select("doc", "s").mapInPandas(sign, "sig long, doc long")
-    members = signed.repartition(parallel, "sig").sortWithinPartitions("sig", "doc").mapInPandas(_repeats("sig", ["sig", "doc"]), "sig long, doc long")
+                found.append(signatures(np.asarray(s, np.int64).view(np.uint64)).view(np.int64))
+                docs.append(doc)
+                held += len(found[-1])
+                if held >= SIGNED:
+                    yield pd.DataFrame({"sig": np.concatenate(found), "doc": np.repeat(docs, [len(x) for x in found])})
+                    found, docs, held = [], [], 0
+            if held:
+                yield pd.DataFrame({"sig": np.concatenate(found), "doc": np.repeat(docs, [len(x) for x in found])})
+
+    signed = sets.select("doc", "s").mapInPandas(workers.lean(sign), "sig long, doc long")
+    members = signed.repartition(parallel, "sig").sortWithinPartitions("sig", "doc").mapInPandas(workers.lean(_repeats("sig", ["sig", "doc"])), "sig long, doc long")
     members = scratch.table(members, "members")
     weight = members.groupBy("doc").agg(F.count(F.lit(1)).alias("w"))
     hubs = members.join(weight, "doc").groupBy("sig").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("m")).select("sig", (-F.col("m.d")).alias("hub"))
@@ -251,8 +268,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     sized = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     split = sized.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    rest = sized.join(split, "sig", "left_semi").distinct().join(sizes.dropDuplicates(["doc"]), "doc")
-    rest = rest.repartition(parallel, "sig").sortWithinPartitions("sig", "doc").mapInPandas(_leftovers, "x long, y long").distinct()
+    rest = sized.join(split, "sig", "left_semi").distinct().join(sizes, "doc")
+    rest = rest.repartition(parallel, "sig").sortWithinPartitions("sig", "doc").mapInPandas(workers.lean(_leftovers), "x long, y long").distinct()
     more = scratch.table(_verified(rest, sets), "links")
     found = components(links.unionByName(more))
 
@@ -276,7 +293,7 @@ def _allowed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     x = sizes.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
     y = sizes.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
-    return pairs.join(y, "y").join(x, "x").mapInPandas(run, "x long, y long")
+    return pairs.join(y, "y").join(x, "x").mapInPandas(workers.lean(run), "x long, y long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
