@@ -228,39 +228,62 @@ def brute_bytes(pairs):
     return out
 
 
-@pytest.mark.parametrize("chunk,state", [(2_000_000, 4_000_000), (3_000, 4_000_000), (3_000, 50)])
-def test_substrings_against_brute_force(spark, monkeypatch, chunk, state):
+def repeated_texts():
     rng = np.random.default_rng(9)
     passage = " ".join(f"p{i}" for i in range(60))
-    texts = TEXTS + [f"{rng.integers(1e9)} {passage[: int(rng.integers(90, len(passage)))]} {rng.integers(1e9)} é" for _ in range(25)] + ["ab" * 150, "ab" * 90, passage * 2]
-    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(substring_dedup, "STATE", state)
-    if chunk < 10_000:  # the comparison itself, in this process
-        import pandas as pd
-
-        pairs = [(i, (t or "").encode()) for i, t in enumerate(texts)]
-        runs = []
-        for i, raw in pairs:
-            a, _, _, lo, n = substring_dedup.anchors(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
-            runs += [(x, i, p, m, raw[p : p + m + 99]) for x, p, m in zip(a.tolist(), lo.tolist(), n.tolist(), strict=True)]
-        frame = pd.DataFrame(sorted(runs, key=lambda r: r[:3]), columns=["a", "doc", "lo", "n", "bytes"])
-        found = pd.concat(list(substring_dedup._compare(iter([frame.iloc[:40], frame.iloc[40:]]))))
-        got = {(d, s + k) for d, s, n in found[found["k1"].isna()][["doc", "lo", "n"]].itertuples(index=False) for k in range(n)}
-        keyed = found[found["k1"].notna()].sort_values(["doc", "lo"])
-        got |= {(d, s) for d, s in keyed[keyed.duplicated("k1")][["doc", "lo"]].itertuples(index=False)}
-        seen, want = set(), set()
-        for i, raw in pairs:
-            for at in range(len(raw) - 99):
-                (want.add((i, at)) if raw[at : at + 100] in seen else seen.add(raw[at : at + 100]))
-        assert got == want
-        return
+    out = TEXTS + [f"{rng.integers(1e9)} {passage[: int(rng.integers(90, len(passage)))]} {rng.integers(1e9)} é" for _ in range(25)]
+    return [*out, "ab" * 150, "ab" * 90, passage * 2, LONG[500:900] + "!" + LONG[100:700], passage * 2]
+
+
+def test_substrings_against_brute_force(spark):
+    texts = repeated_texts()
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows(substring_dedup.remove_repeats(table))}
     assert got == brute_bytes(enumerate(texts))
 
 
-def test_substrings_odd_rows(odd, empty):
-    assert substring_dedup.remove_repeats(odd).count() == odd.count()
+@pytest.mark.parametrize("chunk,held,many", [(2_000_000, 600_000, 1000), (3_000, 40, 7), (150, 1, 1)])
+def test_substring_steps_of_any_size(monkeypatch, chunk, held, many):
+    """The same steps in this process: buckets that are sorted at once, in parts, or by keys."""
+    import pandas as pd
+
+    for name, value in (("CHUNK", chunk), ("HELD", held)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    texts = [t or "" for t in repeated_texts()]
+    docs = pd.DataFrame({"doc": range(len(texts)), "tie": 5, "text": texts})
+
+    def batches(frame, size):
+        return (frame.iloc[i : i + size] for i in range(0, len(frame), size))
+
+    def sort(frames):
+        return pd.concat(list(frames), ignore_index=True).sort_values(["a", "c", "doc", "at"], ignore_index=True)
+
+    marks = pd.concat(list(substring_dedup._settle(batches(sort(substring_dedup._runs(batches(docs, 3))), many))))
+    wanted = marks[marks["d"] >= 0].groupby("doc")[["a", "lo", "n", "d"]].agg(list).reset_index()
+    parts = sort(substring_dedup._parts(batches(docs.merge(wanted, on="doc"), 3)))
+    found = pd.concat(list(substring_dedup._compare(batches(parts, many))))
+    keyed = found[found["k1"].notna()].sort_values(["doc", "lo"])
+    assert chunk > 150 or len(keyed)
+    again = pd.concat([marks[marks["d"] < 0], found[found["k1"].isna()], keyed[keyed.duplicated(["a", "k1", "k2"])]])
+    got = {(d, s + k) for d, s, n in again[["doc", "lo", "n"]].itertuples(index=False) for k in range(n)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        for at in range(len(raw) - 99):
+            (want.add((i, at)) if raw[at : at + 100] in seen else seen.add(raw[at : at + 100]))
+    assert got == want
+
+
+def test_substrings_odd_rows(spark, odd, empty):
+    """Rows that repeat id and text are one document; other texts of an id are documents of
+    their own; the least id is null."""
+    table = odd.unionByName(odd.filter("doc_id = 7").selectExpr("7L AS doc_id", f"'{LONG} end' AS text", *odd.columns[2:]))
+    source = [(r["doc_id"], r["text"] or "") for r in rows(table)]
+    tie = {r["text"]: r["x"] for r in rows(table.select("text", F.expr("xxhash64(coalesce(text, '')) & 16777215").alias("x")))}
+    pairs = sorted(set(source), key=lambda p: (p[0] is not None, p[0] or 0, tie.get(p[1], tie.get(None))))
+    want = dict(zip(pairs, brute_bytes((k, t) for k, (_, t) in enumerate(pairs)).values(), strict=True))
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in rows(substring_dedup.remove_repeats(table))), key=repr)
+    assert got == sorted(((i, want[i, t][0], want[i, t][1], want[i, t][3]) for i, t in source), key=repr)
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 

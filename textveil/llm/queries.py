@@ -8,7 +8,7 @@ from textveil.llm.line_dedup import OP6_SQL, op6_line_dedup
 from textveil.llm.mixing import op1_mixing
 from textveil.llm.packing import op9_packing
 from textveil.llm.quality import op7_quality
-from textveil.llm.substring_dedup import op5_substring_dedup
+from textveil.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from textveil.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op2_embedding_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard": OP8_SQL}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard": OP8_SQL}

@@ -1,30 +1,36 @@
-"""Removal of repeated 100-byte strings, by suffix sorting with bucket pointers.
+"""Removal of repeated 100-byte strings, by bucket-pointer refinement.
 
 A byte goes when a LENGTH-byte string that covers it also starts earlier in the
 corpus (smaller doc_id, or earlier in the same document). Texts are UTF-8 bytes and
-matches never cross documents.
+matches never cross documents. Strings are sorted into ever finer buckets; a string
+alone in its bucket drops out, equal strings share one to the end.
 
-1. Of equal texts all but the least doc_id's go whole; the others aren't compared.
-2. Every LENGTH-byte string holds one anchor: its GRAM-byte piece of least hash, the
+1. Every LENGTH-byte string holds one anchor: its GRAM-byte piece of least hash, the
    leftmost of equals. It depends on the string alone, so equal strings share their
-   anchor's hash, and the strings of successive starts with one anchor are a run: one
-   row (anchor, hash of the run's bytes, place). Sorted by these, all but the first of
-   equal runs repeat whole, and an anchor with one sort of run has nothing else.
-3. Runs that differ around an equal anchor are compared byte by byte. All suffixes of
-   their bytes are sorted to depth LENGTH by bucket-pointer refinement: buckets of
-   equal 5-grams are refined by the bucket identifiers of the suffix 5 later, the
-   finer identifiers are used again 10 later, and so on; suffixes alone in their bucket
-   drop out. In each final bucket all but the earliest start repeat.
-4. An anchor with more bytes of runs than are sorted at once is gone through in order,
-   with its strings' 64-bit keys; beyond STATE keys these go to one aggregation.
+   anchor's bucket, and the strings of successive starts with one anchor are a run: one
+   row (bucket, hash of the run's bytes, place). Of equal runs all but the first repeat
+   whole; a bucket with one sort of run has nothing else. These rows come straight from
+   the scan. Repeats inside a partition are joined to spans before the shuffle.
+2. Runs that differ in one bucket are refined by what stands SIDE bytes further: a string
+   whose anchor is SIDE bytes or more from its start holds the SIDE bytes before it, any
+   other the SIDE bytes after it. Bucket, side and these bytes give the finer bucket of
+   either part of a run; equal parts repeat, parts alone in a bucket drop out.
+3. Parts that still differ are compared byte by byte. All suffixes of their bytes are
+   sorted to depth LENGTH: buckets of equal 5-grams are refined by the bucket identifiers
+   of the suffix 5 later, the finer identifiers are used again 10 later, and so on. In
+   each final bucket all but the earliest start repeat.
+4. A bucket of step 2 with more bytes than one task sorts at once (CHUNK) is refined to
+   full depth over all tasks: each string's final bucket is the bucket and 128 bits of
+   hash, and one aggregation finds the earliest start of each.
 
 No pair is ever formed: work follows the bytes, whatever the number of copies. The
-result is that of comparing all strings (64-bit hashes of anchors, runs and keys aside).
+result is that of comparing all strings (hashes of 64 bits or more aside).
 
 Defined results: null and empty texts have 0 bytes and lose none, as texts under LENGTH
-bytes; of rows that repeat a doc_id with different texts the one of least MD5 is
-compared, the others keep all; rows that repeat a doc_id and its text are one document;
-a null doc_id is the least id; an empty table gives no rows; other columns aren't read.
+bytes; rows that repeat a doc_id and its text are one document; rows that repeat a doc_id
+with different texts are documents of their own, ordered by 24 bits of a hash of the text
+(texts that share these as well as their doc_id would be taken for one); a null doc_id is
+the least id; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -40,23 +46,27 @@ from textveil.llm import ids, scratch, workers
 from textveil.llm import shingles as sh
 
 LENGTH = 100
-GRAM = 16
+GRAM = 24
+SIDE = (LENGTH - GRAM) // 2
 SLICE = 1 << 22  # bytes that are searched for anchors at once
-CHUNK = 2_000_000  # bytes of runs that are sorted at once
+HELD = 600_000  # runs whose repeats are joined at once
+CHUNK = 2_000_000  # bytes that are sorted at once
+BATCH = 50_000  # rows that are sent at once
 FIRST = 5  # letters of the first buckets: with a place, 61 bits
-STATE = 4_000_000  # keys of one anchor that a task keeps
 _INDEX = np.uint64((1 << 24) - 1)
+_TIE, _LO = 38, 7  # bits below: a place is (tie of 24 bits, first start of 31, starts of 7)
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs (anchor, run hash, text number, first start in it, number of starts) of texts."""
+    """Runs (anchor, run hash, text number, first start in it, number of starts) of texts.
+
+    The lowest seven bits of the run hash are the anchor's distance from the first start.
+    """
     n = len(raw)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
         return (empty,) * 5
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * sh.powers(sh._P, n), out=total[1:])
-    back = sh.powers(sh._INVERSE, n)
+    total, back = _sums(raw, sh._P)
     hashes = sh.mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
     least = (hashes & ~_INDEX) | np.arange(len(hashes), dtype=np.uint64)
     width, span = LENGTH - GRAM + 1, 1
@@ -81,23 +91,33 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     mark = own[first]
     text = np.searchsorted(ends, lo, side="right")
     run = (total[lo + count - 1 + LENGTH] - total[lo]) * back[lo]
-    run = sh.mix(run + (mark - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64) * np.uint64(0xA5A3564E27F88693))
+    run = sh.mix(run + count.astype(np.uint64) * np.uint64(0xA5A3564E27F88693))
+    run = (run & ~np.uint64(127)) | (mark - lo).astype(np.uint64)
     return hashes[mark].view(np.int64), run.view(np.int64), text, lo - starts[text], count
 
 
-RUNS = "a long, c long, doc long, lo int, n short, known boolean"
+def _sums(raw: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for a polynomial hash: that of bytes i to j is (sums[j] - sums[i]) * back[i]."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * sh.powers(base, len(raw)), out=total[1:])
+    return total, sh.powers(sh._INVERSE if base == sh._P else pow(base, -1, 1 << 64), len(raw))
+
+
+RUNS = "a long, c long, doc long, at long"
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, c, doc, lo, n, known) of documents (doc, text).
+    """Runs (a, c, doc, at) of documents (doc, tie, text).
 
-    Of equal runs in a batch the earliest goes to its anchor; the others are known to
-    repeat and go anywhere, so a passage of a third of all texts fills no one's task.
+    Of equal runs in a partition the earliest goes to its anchor; the others are known to
+    repeat and go anywhere, successive ones as one row (its place has no starts, c has
+    their number), so a passage of a third of all texts fills no one's task.
     """
+    held, many = [], 0
     for pdf in batches:
-        at, found = 0, []
+        at, ids_, ties = 0, pdf["doc"].to_numpy(), pdf["tie"].to_numpy(np.int64)
         for part in sh.chunks((t.encode() for t in pdf["text"]), SLICE // 8):
-            docs = pdf["doc"].to_numpy()[at : at + len(part)]
+            docs, tie = ids_[at : at + len(part)], ties[at : at + len(part)]
             at += len(part)
             joined = b"".join(part)
             sizes = np.array([len(t) for t in part])
@@ -109,57 +129,134 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, c, text, lo, n = anchors(raw, starts, ends)
                 skipped = np.maximum(first - (np.cumsum(sizes) - sizes), 0)
                 if len(a):
-                    found.append((a, c, docs[text], (lo + skipped[text]).astype(np.int32), n.astype(np.int16)))
-        if found:
-            a, c, doc, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((lo, doc, c, a))
-            a, c, doc, lo, n = (x[order] for x in (a, c, doc, lo, n))
-            known = np.r_[False, (a[1:] == a[:-1]) & (c[1:] == c[:-1])]
-            a = np.where(known, sh.mix(doc.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64), a)
-            for k in range(0, len(a), 50_000):
-                yield pd.DataFrame({"a": a[k : k + 50_000], "c": c[k : k + 50_000], "doc": doc[k : k + 50_000], "lo": lo[k : k + 50_000], "n": n[k : k + 50_000], "known": known[k : k + 50_000]})
-
-
-MARKS = "doc long, lo int, n int, a long, open boolean"
-
-
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by (a, c, doc, lo): repeats of equal runs, and (open) the first of each of
-    the different runs of an anchor."""
+                    held.append((a, c, docs[text], (tie[text] << _TIE) | ((lo + skipped[text]) << _LO) | n))
+                    many += len(a)
+            if many >= HELD:
+                yield from _joined(held)
+                held, many = [], 0
+    if held:
+        yield from _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+    a, c, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = sh.mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    several = order[np.r_[False, same] | np.r_[same, False]]
+    several = several[np.lexsort((at[several], doc[several], key[several]))]
+    new = np.r_[True, key[several][1:] != key[several][:-1]] if len(several) else np.zeros(0, bool)
+    first = several[new][np.cumsum(new) - 1]
+    again = several[~new & ((doc[several] != doc[first]) | (at[several] != at[first]))]
+    keep = np.ones(len(a), bool)
+    keep[several[~new]] = False
+    spans = _spans(doc[again], at[again] >> _TIE, at[again] >> _LO & 0x7FFFFFFF, at[again] & 127)
+    place = (spans["tie"].to_numpy() << _TIE) | (spans["lo"].to_numpy(np.int64) << _LO)
+    a = np.concatenate([a[keep], sh.mix(spans["doc"].to_numpy().view(np.uint64) * np.uint64(31) + place.view(np.uint64)).view(np.int64)])
+    c, doc, at = np.concatenate([c[keep], spans["n"]]), np.concatenate([doc[keep], spans["doc"]]), np.concatenate([at[keep], place])
+    for k in range(0, len(a), BATCH):
+        yield pd.DataFrame({"a": a[k : k + BATCH], "c": c[k : k + BATCH], "doc": doc[k : k + BATCH], "at": at[k : k + BATCH]})
+
+
+def _spans(doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Runs of n starts from lo, successive ones joined, as (doc, tie, lo, n)."""
+    order = np.lexsort((lo, tie, doc))
+    doc, tie, lo, n = doc[order], tie[order], lo[order], n[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (lo[1:] != lo[:-1] + n[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return pd.DataFrame({"doc": doc[first], "tie": tie[first], "lo": lo[first], "n": np.add.reduceat(n, first) if len(first) else n})
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Of rows by (a, c, doc, at): repeats of equal runs, and the first of each of the
+    different runs of a bucket a. Rows of one place are one."""
     held: pd.DataFrame | None = None  # the first row of the open (a, c)
-    told = False  # whether it went out as open
+    told = False  # whether it went out as different
     for pdf in batches:
-        sure = pdf["known"].to_numpy(bool)
-        if sure.any():
-            yield pdf.loc[sure, ["doc", "lo", "n", "a"]].assign(open=False)
-            pdf = pdf[~sure]
         if not len(pdf):
             continue
         k = 0
         if held is not None:
             pdf, k = pd.concat([held, pdf], ignore_index=True), 1
-        a, c = pdf["a"].to_numpy(), pdf["c"].to_numpy()
+        a, c, doc, at = (pdf[x].to_numpy() for x in ("a", "c", "doc", "at"))
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_c = new_a | np.r_[True, c[1:] != c[:-1]]
         firsts = np.flatnonzero(new_c)
-        # a first run is open if another run of its anchor stands beside it
+        first = firsts[np.cumsum(new_c) - 1]
+        # a first run is open if another run of its bucket stands beside it
         beside = np.zeros(len(firsts), bool)
         same = a[firsts][1:] == a[firsts][:-1]
         beside[1:] |= same
         beside[:-1] |= same
-        repeats = pdf[~new_c]
-        is_open = firsts[beside]
+        differ = firsts[beside]
         if k and told:
-            is_open = is_open[is_open != 0]
-        if len(repeats):
-            yield repeats[["doc", "lo", "n", "a"]].assign(open=False)
-        if len(is_open):
-            yield pdf.iloc[is_open][["doc", "lo", "n", "a"]].assign(open=True)
+            differ = differ[differ != 0]
+        yield pdf[~new_c & ((doc != doc[first]) | (at != at[first]))], pdf.iloc[differ]
         last = firsts[-1]
         told = bool(beside[-1]) or (last == 0 and k == 1 and told)
         held = pdf.iloc[last : last + 1]
 
 
+MARKS = "doc long, tie int, lo int, n int, a long, d int"
+
+
+def _marks(rows: pd.DataFrame, d: np.ndarray | int) -> pd.DataFrame:
+    at = rows["at"].to_numpy()
+    return pd.DataFrame({"doc": rows["doc"].to_numpy(), "tie": at >> _TIE, "lo": at >> _LO & 0x7FFFFFFF, "n": at & 127, "a": rows["a"].to_numpy(), "d": d})
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated runs (d is -1), and those to refine, with their anchor's distance d."""
+
+    def unknown() -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = (pdf["at"].to_numpy() & 127) == 0
+            if known.any():
+                sure.append(pdf[known])
+            yield pdf[~known]
+
+    sure: list[pd.DataFrame] = []
+    for repeats, differ in _settled(unknown()):
+        yield from (_marks(x, -1).assign(n=x["c"].to_numpy()) for x in sure)
+        sure.clear()
+        yield _marks(repeats, -1)
+        yield _marks(differ, differ["c"].to_numpy() & 127)
+    yield from (_marks(x, -1).assign(n=x["c"].to_numpy()) for x in sure)
+
+
+PARTS = "a long, c long, doc long, at long, bytes binary"
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Either part of each run to refine (a, lo, n, d: arrays by document), in its finer bucket."""
+    out, size = [], 0
+    for pdf in batches:
+        for doc, tie, text, a, lo, n, d in zip(*(pdf[x] for x in ("doc", "tie", "text", "a", "lo", "n", "d")), strict=True):
+            encoded = text.encode()
+            raw = np.frombuffer(encoded, np.uint8)
+            total, back = _sums(raw, sh._P)
+            a, lo, n, d = (np.asarray(x, np.int64) for x in (a, lo, n, d))
+            mark, past = lo + d, lo + n
+            middle = np.clip(mark - SIDE + 1, lo, past)  # the first start whose anchor is nearer than SIDE
+            for side, low, high, at in ((1, lo, middle, mark - SIDE), (2, middle, past, mark)):
+                some = low < high
+                low, high, at = low[some], high[some], at[some]
+                finer = sh.mix((total[at + GRAM + SIDE] - total[at]) * back[at] + a[some].view(np.uint64) + np.uint64(side))
+                content = sh.mix((total[high - 1 + LENGTH] - total[low]) * back[low] + (high - low).astype(np.uint64) * np.uint64(0xA5A3564E27F88693) + (mark[some] - low).astype(np.uint64))
+                pieces = [encoded[x : y - 1 + LENGTH] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                out.append((finer.view(np.int64), content.view(np.int64), np.full(len(low), doc, np.int64), (int(tie) << _TIE) | (low << _LO) | (high - low), pieces))
+                size += sum(map(len, pieces))
+            if size >= CHUNK:
+                yield _table(out)
+                out, size = [], 0
+    if out:
+        yield _table(out)
+
+
+def _table(out: list[tuple]) -> pd.DataFrame:
+    a, c, doc, at = (np.concatenate([x[i] for x in out]) for i in range(4))
+    return pd.DataFrame({"a": a, "c": c, "doc": doc, "at": at, "bytes": [b for x in out for b in x[4]]})
+
+
 def refine(raw: np.ndarray) -> np.ndarray:
     """Bucket of the LENGTH-byte string at each place; -1 where no other has it."""
     n = len(raw) - LENGTH + 1
@@ -201,197 +298,159 @@ def _buckets(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-REPEATS = "doc long, lo int, n int, k1 long"
+REPEATS = "doc long, tie int, lo int, n int, a long, k1 long, k2 long"
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (a, doc, lo, n, bytes) by (a, doc, lo): repeated starts (k1 null), and for
-    anchors that hold more than a task may keep the key of every string."""
-    held: list[pd.DataFrame] = []
-    size, large = 0, None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        a = pdf["a"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
-        lengths = np.r_[0, np.cumsum(pdf["bytes"].map(len).to_numpy())]
-        for low, high in zip(edges, edges[1:], strict=False):
-            group, more = pdf.iloc[low:high], int(lengths[high] - lengths[low])
-            if large is not None and large.a == a[low]:
-                yield from large.add(group)
-                continue
-            large = None
-            if held and size + more > CHUNK:
-                same = [g for g in held if g["a"].iloc[0] == a[low]]
-                rest = [g for g in held if g["a"].iloc[0] != a[low]]
-                if rest:
-                    yield _sorted(pd.concat(rest, ignore_index=True))
-                held, size = same, sum(int(g["bytes"].map(len).sum()) for g in same)
-            held.append(group)
-            size += more
-            if size > CHUNK:  # one anchor alone
-                large = _Large(a[low])
-                yield from large.add(pd.concat(held, ignore_index=True))
-                held, size = [], 0
-    if held:
-        yield _sorted(pd.concat(held, ignore_index=True))
-
-
-class _Large:
-    """The strings of one anchor, too many to sort at once, in order of their places:
-    their 64-bit keys are kept sorted, up to STATE of them; an anchor with more gives
-    its keys away, to be compared by an aggregation over all tasks."""
-
-    def __init__(self, a: int):
-        self.a, self.keyed = a, False
-        self.keys, self.doc, self.lo = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(rows), 16_384):
-            part = rows.iloc[at : at + 16_384]
-            raw, place, row, start = _places(part)
-            doc, keys = part["doc"].to_numpy()[row], _keys(raw, place)
-            if not self.keyed:
-                found, first = np.unique(keys, return_index=True)
-                where = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
-                new = self.keys[where] != found if len(self.keys) else np.ones(len(found), bool)
-                again = np.ones(len(keys), bool)
-                again[first[new]] = False
-                if again.any():
-                    order = np.lexsort((start[again], doc[again]))
-                    yield _repeated(_spans(doc[again][order], start[again][order]))
-                merged = np.concatenate([self.keys, found[new]])
-                order = np.argsort(merged, kind="stable")
-                self.keys = merged[order]
-                self.doc = np.concatenate([self.doc, doc[first[new]]])[order]
-                self.lo = np.concatenate([self.lo, start[first[new]]])[order]
-                if len(self.keys) <= STATE:
-                    continue
-                keys, doc, start, self.keyed = self.keys, self.doc, self.lo, True
-                self.keys = self.doc = self.lo = np.zeros(0)
-            yield pd.DataFrame({"doc": doc, "lo": start.astype(np.int32), "n": np.int32(1), "k1": keys.view(np.int64)})
-
-
-def _keys(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(place), np.uint64)
-    for base in (sh._P, 0xC2B2AE3D27D4EB4F):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * sh.powers(base, len(raw)), out=total[1:])
-        key = sh.mix(key + (total[place + LENGTH] - total[place]) * sh.powers(pow(base, -1, 1 << 64), len(raw))[place])
-    return key
+    """Parts by (a, c, doc, at): repeated starts (keys null), and the strings, with their
+    keys, of buckets that hold more than a task may sort."""
+    held: pd.DataFrame | None = None
+    large: int | None = None  # the bucket that gives its strings away
+    for repeats, differ in _settled(batches):
+        if len(repeats):
+            yield _repeated(_marks(repeats, 0).drop(columns=["a", "d"]))
+        if large is not None:
+            own = differ["a"].to_numpy() == large
+            if own.any():
+                yield from _keyed(differ[own])
+                differ = differ[~own]
+            if len(differ):
+                large = None
+        held = differ if held is None else pd.concat([held, differ], ignore_index=True)
+        while len(held):
+            a = held["a"].to_numpy()
+            size = np.cumsum(held["bytes"].map(len).to_numpy())
+            if size[-1] <= CHUNK:
+                break
+            edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            fits = edges[np.r_[0, size][edges] <= CHUNK][-1]
+            if fits:  # whole buckets
+                yield _sorted(held.iloc[:fits])
+            else:
+                fits = edges[1] if len(edges) > 1 else len(held)
+                large = int(a[0]) if len(edges) == 1 else None
+                yield from _keyed(held.iloc[:fits])
+            held = held.iloc[fits:]
+    if held is not None and len(held):
+        yield _sorted(held)
+
+
+def _keyed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Every string of rows of one bucket, with 128 bits of hash."""
+    for at in range(0, len(rows), 16_384):
+        part = rows.iloc[at : at + 16_384]
+        raw, place, row, start = _places(part)
+        keys = []
+        for base in (sh._P, 0xC2B2AE3D27D4EB4F):
+            total, back = _sums(raw, base)
+            keys.append(sh.mix((total[place + LENGTH] - total[place]) * back[place]).view(np.int64))
+        yield pd.DataFrame({
+            "doc": part["doc"].to_numpy()[row], "tie": (part["at"].to_numpy() >> _TIE)[row], "lo": start, "n": 1,
+            "a": part["a"].to_numpy()[row], "k1": keys[0], "k2": keys[1],
+        })
 
 
 def _repeated(spans: pd.DataFrame) -> pd.DataFrame:
-    return spans.assign(k1=pd.array([None] * len(spans), dtype="Int64"))
+    none = pd.array([None] * len(spans), dtype="Int64")
+    return spans.assign(a=none, k1=none, k2=none)
 
 
 def _places(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all rows, and the place, row and start of each string."""
     sizes = rows["bytes"].map(len).to_numpy()
-    n = rows["n"].to_numpy().astype(np.int64)
+    at = rows["at"].to_numpy()
+    n = at & 127
     raw = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
     row = np.repeat(np.arange(len(rows)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return raw, (np.cumsum(sizes) - sizes)[row] + inside, row, rows["lo"].to_numpy()[row] + inside
-
-
-def _spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """Successive starts, sorted, as (doc, lo, n)."""
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
-    n = np.diff(np.r_[first, len(doc)])
-    return pd.DataFrame({"doc": doc[first], "lo": start[first].astype(np.int32), "n": n.astype(np.int32)})
+    return raw, (np.cumsum(sizes) - sizes)[row] + inside, row, (at >> _LO & 0x7FFFFFFF)[row] + inside
 
 
 def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
     raw, place, row, start = _places(rows)
     bucket = refine(raw)[place]
     live = np.flatnonzero(bucket >= 0)
-    doc = rows["doc"].to_numpy()[row[live]]
-    order = np.lexsort((start[live], doc, bucket[live]))
+    doc, tie = rows["doc"].to_numpy()[row[live]], (rows["at"].to_numpy() >> _TIE)[row[live]]
+    start = start[live]
+    order = np.lexsort((start, tie, doc, bucket[live]))
     b = bucket[live][order]
-    later = np.sort(order[np.r_[False, b[1:] == b[:-1]]]) if len(b) else order
-    again = np.lexsort((start[live][later], doc[later]))
-    found = _spans(doc[later][again], start[live][later][again]) if len(later) else pd.DataFrame({"doc": [], "lo": [], "n": []}).astype({"doc": "int64", "lo": "int32", "n": "int32"})
-    return _repeated(found)
+    later = order[np.r_[False, b[1:] == b[:-1]]] if len(b) else order
+    return _repeated(_spans(doc[later], tie[later], start[later], np.ones(len(later), np.int64)))
 
 
-def covered(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
+def covered(size: int, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Which bytes the strings at starts lo..lo+n-1 cover."""
-    change = np.zeros(size + 1, np.int32)
-    for lo, n in spans:
-        change[lo] += 1
-        change[lo + n - 1 + LENGTH] -= 1
+    change = np.bincount(lo, minlength=size + 1)[: size + 1] - np.bincount(lo + n - 1 + LENGTH, minlength=size + 1)[: size + 1]
     return np.cumsum(change)[:size] > 0
 
 
+def _lists(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each document, with an array of each column, in one order."""
+    grouped = rows.groupBy("doc", "tie").agg(F.collect_list(F.struct(*columns)).alias("all"))
+    return grouped.select("doc", "tie", *(F.col(f"all.{c}").alias(c) for c in columns))
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs (doc, md5, text) with whole (an earlier document has its text)
-    and main (this row is compared); and (doc, spans) of repeated starts of main rows."""
-    spark = docs.sparkSession
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(ids.filled("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("md5", F.md5(F.col("text").cast("binary")))
-    known = scratch.table(rows.select("doc", "md5", F.octet_length("text").alias("size")).distinct(), "known")
-    single = known.groupBy("doc").agg(F.min("md5").alias("md5"), F.first("size").alias("size"))
-    firsts = single.filter(F.col("size") >= LENGTH).groupBy("md5").agg(F.min("doc").alias("first"))
-    status = known.join(single.select("doc", F.col("md5").alias("main_md5")), "doc").join(firsts, "md5", "left")
-    status = status.select("doc", "md5", (F.col("md5") == F.col("main_md5")).alias("main"), F.coalesce(F.col("first") < F.col("doc"), F.lit(False)).alias("whole"))
-    status = scratch.table(status, "status")
-    # joined by doc alone, then filtered: what follows joins by doc, and texts move once
-    chosen = status.filter("main AND NOT whole").select("doc", F.col("md5").alias("own"))
-    compared = rows.join(chosen, "doc").filter("md5 = own").drop("own")
-    runs = compared.select("doc", "text").mapInPandas(workers.lean(_runs), RUNS)
-    marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "lo").mapInPandas(workers.lean(_settle), MARKS)
+    """(rows, spans): docs as (doc, tie, text), and (doc, tie, lo, n): arrays of repeated starts."""
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(ids.filled("doc_id").alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("tie"), text.alias("text"))
+    runs = rows.mapInPandas(workers.lean(_runs), RUNS)
+    marks = runs.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "at").mapInPandas(workers.lean(_settle), MARKS)
     marks = scratch.table(marks, "marks")
 
-    wanted = marks.filter("open").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, text, of in zip(pdf["doc"], pdf["text"], pdf["runs"], strict=True):
-                raw = text.encode()
-                yield pd.DataFrame({
-                    "a": [r["a"] for r in of], "doc": doc, "lo": [r["lo"] for r in of], "n": [r["n"] for r in of],
-                    "bytes": [raw[r["lo"] : r["lo"] + r["n"] - 1 + LENGTH] for r in of],
-                })
-
-    texts = compared.join(wanted, "doc").mapInPandas(workers.lean(cut), "a long, doc long, lo int, n int, bytes binary")
-    found = texts.repartition(parallel, "a").sortWithinPartitions("a", "doc", "lo").mapInPandas(workers.lean(_compare), REPEATS)
+    wanted = _lists(marks.filter("d >= 0"), "a", "lo", "n", "d")
+    parts = rows.join(wanted, ["doc", "tie"]).mapInPandas(workers.lean(_parts), PARTS)
+    found = parts.repartition(parallel, "a").sortWithinPartitions("a", "c", "doc", "at").mapInPandas(workers.lean(_compare), REPEATS)
     found = scratch.table(found, "repeats")
-    keyed = found.filter("k1 IS NOT NULL")
-    earliest = keyed.groupBy("k1").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    split = keyed.join(earliest, "k1").filter("struct(doc, lo) <> e").select("doc", "lo", "n")
-    spans = marks.filter("NOT open").select("doc", "lo", "n").unionByName(found.filter("k1 IS NULL").select("doc", "lo", "n")).unionByName(split)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    status = status.withColumnRenamed("md5", "own")
-    return rows.join(status, "doc").filter("md5 = own").drop("own"), spans
+    keyed, key = found.filter("k1 IS NOT NULL"), ["a", "k1", "k2"]
+    earliest = keyed.groupBy(*key).agg(F.min(F.struct("doc", "tie", "lo")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    split = keyed.join(earliest, key).filter("struct(doc, tie, lo) <> e")
+    spans = marks.filter("d < 0").unionByName(found.filter("k1 IS NULL"), allowMissingColumns=True).unionByName(split, allowMissingColumns=True)
+    return rows, _lists(spans.select("doc", "tie", "lo", "n"), "lo", "n")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for doc, text, lo, n in zip(pdf["doc"], pdf["text"], pdf["lo"], pdf["n"], strict=True):
+            raw = text.encode()
+            if lo is None:
+                out.append((doc, len(raw), 0, 0, raw))
+                continue
+            gone = covered(len(raw), np.asarray(lo, np.int64), np.asarray(n, np.int64))
+            edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            out.append((doc, len(raw), int(gone.sum()), edges, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes."""
     rows, spans = repeated(docs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, text, whole, main, of in zip(pdf["doc"], pdf["text"], pdf["whole"], pdf["main"], pdf["spans"], strict=True):
-                raw = text.encode()
-                if whole:
-                    out.append((doc, len(raw), len(raw), 1, b""))
-                elif of is None or not main:
-                    out.append((doc, len(raw), 0, 0, raw))
-                else:
-                    gone = covered(len(raw), [(r["lo"], r["n"]) for r in of])
-                    edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((doc, len(raw), int(gone.sum()), edges, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return rows.join(spans, "doc", "left").mapInPandas(workers.lean(run), RESULT).withColumn("doc_id", ids.emptied("doc_id"))
+    return rows.join(spans, ["doc", "tie"], "left").mapInPandas(workers.lean(_kept), RESULT).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+OP5_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM s) WHERE nth > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM r)),
+gone AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY doc_id, span),
+cut AS (SELECT doc_id, hi AS lo, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY lo), 1000000000) AS hi FROM gone
+  UNION ALL SELECT doc_id, 0, min(lo) FROM gone GROUP BY doc_id),
+kept AS (SELECT cut.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM cut JOIN t ON t.doc_id = cut.doc_id GROUP BY cut.doc_id),
+n AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
