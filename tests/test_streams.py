@@ -42,13 +42,52 @@ def test_chat_request_splits_tool_results():
     assert protocol.unsupported({"messages": [{"content": [{"type": "tool_result", "content": [{"type": "image"}]}]}]}) and not protocol.unsupported(BODY)
 
 
-def test_translator_closes_what_it_opens():
-    t = protocol.Translator("m", "id")
-    lines = [{"choices": [{"delta": {"content": "he"}}]}, {"choices": [{"delta": {"tool_calls": [{"index": 0, "id": "c", "function": {"name": "f", "arguments": "{"}}]}}]}, {"choices": [{"delta": {"tool_calls": [{"index": 0, "function": {"arguments": "}"}}]}, "finish_reason": "tool_calls"}]}]
-    out = "".join(t.data(json.dumps(x)) for x in lines) + t.data("not json") + t.data("[DONE]")
-    names = [x.removeprefix("event: ") for x in out.split("\n") if x.startswith("event: ")]
-    assert names == ["message_start", "content_block_start", "content_block_delta", "content_block_stop", "content_block_start", "content_block_delta", "content_block_delta", "content_block_stop", "message_delta", "message_stop"]
-    assert '"stop_reason": "tool_use"' in out and t.finish() == ""
+def translated(spark, bodies):
+    rows = spark.createDataFrame(list(enumerate(bodies)), "stream_id long, body string")
+    got = protocol.stream_events(rows, "m", F.concat(F.lit("msg_"), F.col("stream_id").cast("string"))).orderBy("stream_id", "n").collect()
+    return [[(r.event, json.loads(r.data)) for r in got if r.stream_id == i] for i in range(len(bodies))]
+
+
+def event(**choice):
+    return f"data: {json.dumps({'choices': [choice]})}\n\n"
+
+
+def test_stream_translation_closes_what_it_opens(spark):
+    call = lambda i, **more: {"tool_calls": [{"index": i, **more}]}
+    body = event(delta={"content": "he"}) + event(delta=call(0, id="c", function={"name": "f", "arguments": "{"})) + "data: not json\n\n" + event(delta=call(0, function={"arguments": "}"}), finish_reason="tool_calls") + "data: [DONE]\n\n"
+    both = event(delta={"content": "a", **call(0)}) + event(delta={"content": "b"}) + event(delta=call(1)) + event(delta=call(0, function={"arguments": "x"})) + event(delta={"tool_calls": [{"id": "none"}, 5]})
+    one, two, three, four = translated(spark, [body, both, "", "data: [DONE]"])
+    assert [e for e, _ in one] == ["message_start", "content_block_start", "content_block_delta", "content_block_stop", "content_block_start", "content_block_delta", "content_block_delta", "content_block_stop", "message_delta", "message_stop"]
+    assert all(e == d["type"] for e, d in one) and one[-2][1]["delta"] == {"stop_reason": "tool_use", "stop_sequence": None}
+    assert one[0][1]["message"] == {"id": "msg_0", "type": "message", "role": "assistant", "content": [], "model": "m", "stop_reason": None, "stop_sequence": None, "usage": {"input_tokens": 1, "output_tokens": 1}}
+    assert one[4][1]["content_block"] == {"type": "tool_use", "id": "c", "name": "f", "input": {}}
+    opened = [(d["index"], d["content_block"].get("id", "text")) for e, d in two if e == "content_block_start"]
+    assert opened == [(0, "text"), (1, "toolu_msg_1_0"), (2, "text"), (3, "toolu_msg_1_1")]
+    assert [d["index"] for e, d in two if e == "content_block_stop"] == [0, 2, 1, 3]
+    assert [e for e, _ in three] == [e for e, _ in four] == ["message_start", "message_delta", "message_stop"]
+
+
+def test_whole_replies():
+    def ends(reply):
+        body = [json.loads(x.split("data: ")[1]) for x in protocol.reply_events(reply, "m", "i").strip().split("\n\n")]
+        return body[-2]["delta"]["stop_reason"], [b["delta"].get("partial_json", b["delta"].get("text")) for b in body if b["type"] == "content_block_delta"]
+
+    call = {"id": "c", "function": {"name": "f"}}
+    assert ends({"choices": [{"finish_reason": "stop", "message": {"tool_calls": [call]}}]}) == ("tool_use", ["{}"])
+    assert ends({"choices": [{"finish_reason": "length", "message": {"content": "t"}}]}) == ("end_turn", ["t"])
+    assert ends({"choices": [{"message": {"content": "t", "tool_calls": [call, {"function": {"arguments": "{1}"}}]}}]}) == ("tool_use", ["t", "{}", "{1}"])
+    assert ends({}) == ends(None) == ends({"choices": [5]}) == ("end_turn", [])
+    assert not protocol.unsupported({"system": [{"type": "image"}], "messages": []})
+
+
+@pytest.mark.parametrize("size", [1, 4, 9, 200])
+def test_safe_deltas_whatever_the_events(spark, size):
+    text = "a [NAME_12] x[0] [y [EMAIL_3] " + "[" + "z" * 70 + " tail [NAM"
+    body = "".join(event(delta={"content": text[a : a + size], "tool_calls": [{"index": 2, "function": {"arguments": text[a : a + size][::-1]}}]}) for a in range(0, len(text), size)) + "data: [DONE]\n\n"
+    rows = sse.safe_deltas(sse.deltas(sse.events(spark.createDataFrame([(1, body)], "stream_id long, body string")))).collect()
+    parts = [r.text for r in sorted((r for r in rows if r.channel == "content"), key=lambda r: (r.ord, r.last))]
+    assert "".join(parts) == text and parts[-1] == "[NAM" and {r.channel for r in rows} == {"content", "tool:2"}
+    assert not any(p.endswith(("[NAME", "[NAME_1", "[EMAIL_")) for p in parts)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 16, 64, 4096])
@@ -86,10 +125,12 @@ def test_streams_run(spark, tmp_path):
 def test_online_numbers_are_the_batch_numbers(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [("s", "name", f"v{i % 5}", i, i) for i in range(20)] + [("s", "name", "late", 9_999, 0)]
+    # a busy scope: one type all the time, another at the start and after 40 minutes
+    rows += [("busy", "email", "e", 600 * i, 0) for i in range(5)] + [("busy", "name", "Ann", 0, 1), ("busy", "name", "Bob", 2_400, 1), ("busy", "name", "Ann", 2_400, 2)]
     df = spark.createDataFrame(rows, "scope string, type string, value string, sec long, ord long").withColumn("ts", F.timestamp_seconds("sec"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = numbering.number(stream).writeStream.format("memory").queryName("numbers").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     got = {(r.value, r.n) for r in spark.table("numbers").collect()}
-    assert got == {(f"v{i}", i + 1) for i in range(5)} | {("late", 1)}
+    assert got == {(f"v{i}", i + 1) for i in range(5)} | {("late", 1), ("e", 1), ("Ann", 1), ("Bob", 2)}

@@ -20,6 +20,7 @@ SCANNED = r"(chat/completions|completions|embeddings|responses)$"
 FIELDS = "array<struct<ord:int,path:string,text:string>>"
 # Headers of one hop, and those that the upstream gets anew.
 HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailers", "transfer-encoding", "upgrade", "host", "content-length")
+REPLY_HEADERS = ("content-length", "content-encoding", "connection", "keep-alive", "transfer-encoding", "upgrade", "te", "trailer")
 
 Path = tuple[str | int, ...]
 
@@ -38,6 +39,11 @@ def upstream_headers(headers: Column, key: Column) -> Column:
     return F.map_concat(kept, F.create_map(F.lit("authorization"), F.concat(F.lit("Bearer "), key)))
 
 
+def agent_headers(headers: Column) -> Column:
+    """Headers of an upstream's answer without those of one hop or of its encoding."""
+    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*REPLY_HEADERS))
+
+
 def _texts(blocks: Any, at: Path) -> Iterator[tuple[Path, str]]:
     if isinstance(blocks, str):
         yield at, blocks

@@ -48,6 +48,33 @@ def texts(parts: DataFrame, key: str = "stream_id") -> DataFrame:
     return parts.groupBy(key, "channel").agg(F.array_join(F.transform(ordered, lambda p: p["delta"]), "").alias("text"))
 
 
+OPEN_TAIL = r"\[[^\[\]]{0,63}\z"  # may yet become a token of 64 characters at most
+
+
+def safe_deltas(parts: DataFrame, key: str = "stream_id") -> DataFrame:
+    """(key, channel, ord, last, text): deltas cut anew, so that none ends within a token.
+
+    What a delta holds back goes out with the next one of its channel; what the last one
+    holds back is a row of its own (last) that belongs before the stream's or item's end.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "delta")))
+    none = F.expr("array()").cast("array<struct<ord:struct<b:int,l:int>,last:boolean,text:string>>")
+    first = F.struct(F.lit("").alias("held"), F.lit(None).cast("struct<b:int,l:int>").alias("ord"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        come = F.concat(acc["held"], x["delta"])
+        held = F.regexp_extract(come, OPEN_TAIL, 0)
+        safe = F.left(come, F.length(come) - F.length(held))
+        return F.struct(held.alias("held"), x["ord"].alias("ord"), F.array_append(acc["out"], F.struct(x["ord"].alias("ord"), F.lit(False).alias("last"), safe.alias("text"))).alias("out"))
+
+    def rest(acc: Column) -> Column:
+        left = F.struct(acc["ord"].alias("ord"), F.lit(True).alias("last"), acc["held"].alias("text"))
+        return F.when(acc["held"] != "", F.array_append(acc["out"], left)).otherwise(acc["out"])
+
+    found = parts.groupBy(key, "channel").agg(ordered.alias("d")).select(key, "channel", F.explode(F.aggregate("d", first, step, rest)).alias("x"))
+    return found.select(key, "channel", "x.ord", "x.last", "x.text").filter("text <> ''")
+
+
 def frames(event: Column, data: Column) -> Column:
     """An event as it goes over the wire."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
