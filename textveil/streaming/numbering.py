@@ -1,7 +1,8 @@
-"""Online first-seen numbering: one (scope, type) is one key, so no number is given twice.
+"""Online first-seen numbering: a scope is one key, so no number is given twice.
 
-State: the counter, the values' numbers, and when the scope was last masked; a longer
-pause than the idle time forgets the scope before numbering goes on.
+State of a scope: when it was last masked, the last number of each type and the values'
+numbers. A longer pause than the idle time, whatever the type, forgets all of the scope
+before numbering goes on.
 """
 
 from __future__ import annotations
@@ -24,26 +25,29 @@ class Numbering(StatefulProcessor):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "n long, at double")
-        self.known = handle.getMapState("known", "value string", "n long")
+        self.masked = handle.getValueState("masked", "at double")
+        self.last = handle.getMapState("last", "type string", "n long")
+        self.numbers = handle.getMapState("numbers", "type string, value string", "n long")
+
+    def _number(self, kind: str, value: str) -> int:
+        if self.numbers.containsKey((kind, value)):
+            return self.numbers.getValue((kind, value))[0]
+        n = (self.last.getValue((kind,))[0] if self.last.containsKey((kind,)) else 0) + 1
+        self.last.updateValue((kind,), (n,))
+        self.numbers.updateValue((kind, value), (n,))
+        return n
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        top, at = self.top.get() if self.top.exists() else (0, None)
+        before = self.masked.get()[0] if self.masked.exists() else None
         out = []
         for r in pd.concat(list(rows)).sort_values(["at", "ord"]).itertuples(index=False):
-            if self.idle and at is not None and r.at - at > self.idle:
-                self.known.clear()
-                top = 0
-            at = float(r.at)
-            k = (r.value,)
-            if self.known.containsKey(k):
-                n = self.known.getValue(k)[0]
-            else:
-                top += 1
-                n = top
-                self.known.updateValue(k, (n,))
-            out.append((key[0], key[1], r.value, n, f"[{key[1]}_{n}]"))
-        self.top.update((int(top), at))
+            if self.idle and before is not None and r.at - before > self.idle:
+                self.last.clear()
+                self.numbers.clear()
+            before = float(r.at)
+            n = self._number(r.type, r.value)
+            out.append((key[0], r.type, r.value, n, f"[{r.type}_{n}]"))
+        self.masked.update((before,))
         yield pd.DataFrame(out, columns=["scope", "type", "value", "n", "token"])
 
     def close(self) -> None:
@@ -53,4 +57,4 @@ class Numbering(StatefulProcessor):
 def number(sightings: DataFrame, idle: int | None = IDLE_SECONDS) -> DataFrame:
     """A stream (scope, type, value, ts, ord) with n and token; needs the RocksDB state store."""
     rows = sightings.select("scope", normalize_type(F.col("type")).alias("type"), "value", F.col("ts").cast("double").alias("at"), "ord")
-    return rows.groupBy("scope", "type").transformWithStateInPandas(Numbering(idle), OUT, "append", "none")
+    return rows.groupBy("scope").transformWithStateInPandas(Numbering(idle), OUT, "append", "none")

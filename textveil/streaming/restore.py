@@ -7,6 +7,7 @@ tokens are then looked up natively, in a map column or by a stream-static join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,12 +18,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from textveil.operators.mapping import MAX_TOKEN
 
 
+OPEN_TAIL = re.compile(rf"\[[^\[\]]{{0,{MAX_TOKEN - 1}}}\Z")
+
+
 def cut(held: str) -> tuple[str, str]:
-    """(safe to send, held back) of what has come."""
-    at = held.rfind("[")
-    if at < 0 or "]" in held[at:] or len(held) - at > MAX_TOKEN:
-        return held, ""
-    return held[:at], held[at:]
+    """(safe to send, held back) of what has come: a tail that may yet become a token."""
+    tail = OPEN_TAIL.search(held)
+    return (held[: tail.start()], tail.group()) if tail else (held, "")
 
 
 def _feed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
