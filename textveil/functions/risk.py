@@ -103,3 +103,22 @@ def combination_risk(text: Column, spans: Column, today: str | None = None) -> C
 
 def is_warning_worthy(score: Column) -> Column:
     return F.coalesce(score, F.lit(0.0)) >= WARNING
+
+
+# Words of the warnings.
+FOUND = "偵測到 %d 筆敏感資訊（%s）"
+ADDED = "本輪新增 %d 筆個資（%s）"
+TOGETHER = "組合風險 %.2f（%s）：%s 同時出現，即使明碼個資已遮蔽，仍可能指認到特定個人"
+
+
+def counts_warning(counts: Column, words: str = FOUND) -> Column:
+    """One line for an array of (type, n): the total, and each type in order; empty for none."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    detail = F.array_join(F.transform(F.array_sort(counts), lambda c: F.format_string("%s x%d", c["type"], c["n"])), "、")
+    return F.when(F.size(counts) > 0, F.format_string(words, total, detail)).otherwise("")
+
+
+def risk_warning(risk: Column) -> Column:
+    """The score, level and types of a combination risk, and a line for each suggestion."""
+    head = F.format_string(TOGETHER, risk["score"], risk["risk_level"], F.array_join(risk["contributing_types"], "、"))
+    return F.array_join(F.concat(F.array(head), F.transform(risk["suggestions"], lambda s: F.concat(F.lit("    · "), s))), "\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IOU = 0.5
@@ -61,7 +61,26 @@ def name_tally(sentences: DataFrame, pred: DataFrame) -> DataFrame:
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Starts of all places of a literal in a text, from left to right, not overlapping."""
-    gaps = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
-    n = F.size(gaps) - 1
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.length(F.array_join(F.slice(gaps, 1, i), "")) + (i - 1) * F.length(needle)).cast("int"))
-    return F.when((n > 0) & (needle != ""), starts).otherwise(F.expr("array()").cast("array<int>"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    gaps = F.transform(F.split(text, quoted, -1), F.length)
+    first = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<int>").alias("out"))
+
+    def step(acc: Column, gap: Column) -> Column:
+        start = acc["at"] + gap
+        return F.struct((start + F.length(needle)).alias("at"), F.array_append(acc["out"], start).alias("out"))
+
+    starts = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), first, step, lambda acc: acc["out"])
+    return F.when(F.contains(text, needle) & (needle != ""), starts).otherwise(F.expr("array()").cast("array<int>"))
+
+
+def latency_stats(timings: DataFrame, by: list[str], order: str, ms: str = "ms", warm_up: int = 1) -> DataFrame:
+    """n, least, mean, median and most of timings, without the first `warm_up` of each group."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    rows = timings.withColumn("__n", nth).filter(F.col("__n") > warm_up)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(ms).alias("least"), F.avg(ms).alias("mean"), F.median(ms).alias("median"), F.max(ms).alias("most"))
+
+
+def entity_types(labels: DataFrame, label: str = "label") -> DataFrame:
+    """The distinct entity types behind BIO labels (B-X, I-X, O or a plain type)."""
+    kind = F.regexp_replace(label, r"(?s)\A[^-]*-", "")
+    return labels.filter(F.col(label) != "O").select(kind.alias("type")).distinct()

@@ -50,7 +50,7 @@ def extend(mapping: DataFrame, sightings: DataFrame, order: list[str], scope: li
 
 def live(states: DataFrame, now: Column, updated: str = "updated_at", hours: int = TTL_HOURS) -> DataFrame:
     """States updated within the last `hours` (exactly that old is live)."""
-    return states.filter(now.cast("double") - F.col(updated).cast("double") <= hours * 3600)
+    return states.filter(now.cast("double") - F.col(updated).cast("timestamp").cast("double") <= hours * 3600)
 
 
 def issued_counts(mapping: DataFrame, scope: list[str]) -> DataFrame:

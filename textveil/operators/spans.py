@@ -88,6 +88,11 @@ def residual(spans: Column, skip: tuple[str, ...]) -> Column:
     return F.transform(F.filter(spans, lambda s: normalize_type(s["type"]).isin(*skip)), lambda s: s.withField("type", normalize_type(s["type"])))
 
 
+def chosen(spans: Column, picks: Column) -> Column:
+    """The spans at the picked positions (from 0), as a user has ticked them; null picks all."""
+    return F.when(picks.isNull(), spans).otherwise(F.filter(spans, lambda _, i: F.array_contains(picks, i)))
+
+
 def sound(s: Column) -> Column:
     """Whether an external span has a confidence, a known source and a positive length."""
     return F.coalesce(s["confidence"].isNotNull() & ~F.isnan(s["confidence"]) & s["source"].isin("rule", "model") & (s["start"] < s["end"]), F.lit(False))

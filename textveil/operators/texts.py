@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.functions.text import fingerprint
+from textveil.functions.text import bind, fingerprint
 from textveil.operators import spans as sp
 
 CHUNK = 400
@@ -20,10 +21,19 @@ ADDRESS_LETTERS = "市縣區鄉鎮村里路街巷弄號樓段道"
 
 
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """(start, chunk) windows of a text; a text of at most `size` is one."""
-    n = F.length(text)
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / (size - overlap)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * (size - overlap)).alias("start"), F.when(n <= size, text).otherwise(F.substr(text, i * (size - overlap) + 1, F.lit(size))).alias("chunk")))
+    """(start, chunk) windows of a text; a text of at most `size` is one.
+
+    The text is cut once into pieces that make up every window, so work follows its length.
+    """
+    n, step = F.length(text), size - overlap
+    piece = math.gcd(size, step)
+    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{piece}}}"), F.lit(0))
+
+    def windows(cut: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.array_join(F.slice(cut, i * (step // piece) + 1, F.lit(size // piece)), "").alias("chunk")))
+
+    return bind(pieces, windows)
 
 
 def format_entities(entities: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -95,6 +105,12 @@ def traffic(arrivals: DataFrame, now: Column, ts: str = "ts", by: list[str] | No
     return out.withColumn("seconds_since_last", now.cast("double") - F.col("last_at").cast("timestamp").cast("double"))
 
 
+def last_of(rows: DataFrame, by: list[str], order: str, keep: int = 50) -> DataFrame:
+    """The last `keep` rows of each group, in their order."""
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
+    return rows.withColumn("__back", back).filter(F.col("__back") <= keep).drop("__back")
+
+
 def first_arrival(arrivals: DataFrame, by: list[str], ts: str, tie: str) -> DataFrame:
     """arrivals with is_first: the first of its key."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(ts, tie))
