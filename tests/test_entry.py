@@ -26,7 +26,7 @@ def test_flagship(spark):
     assert got["EMAIL"] > 0 and got["CREDIT_CARD"] > 0
 
 
-@pytest.mark.parametrize("name", ["det_tw_tax", "document_spans", "resolve_overlaps", "risk_score", "mapping_first_seen", "iou_match", "stream_restore"])
+@pytest.mark.parametrize("name", ["det_tw_tax", "document_emails_cards", "json_inner", "stream_events", "mapping_idle", "reply_events", "resolve_overlaps", "risk_score", "mapping_first_seen", "iou_match", "stream_restore"])
 def test_against_the_other_engine(spark, name):
     con = duckdb.connect()
     for t in ("documents", "customer", "events", "pages", "conversations"):
@@ -46,7 +46,7 @@ def test_sql_functions(spark):
 
 def test_json_of_whole_pages(spark):
     html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
-    got = {r.page_id: r.inner_json for r in entry.queries()["json_inner_pages"](spark, "/root/testdata/sf0.01").collect()}
+    got = {r.page_id: r.inner_json for r in entry.queries()["json_inner"](spark, "/root/testdata/sf0.01").collect()}
     assert {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in html.items()} == got and max(map(len, html.values())) > 400
     odd = ["x" * 500 + "".join(map(chr, range(128))), "é\u2028" * 300 + '\\"\n', "</script>" * 99, "\x00", ""]
     rows = spark.createDataFrame(list(enumerate(odd)), "id int, v string").select("id", text.json_inner(F.col("v")).alias("j")).collect()
@@ -101,11 +101,11 @@ def brute_spans(source):
 def test_documents_spans_of_all_detectors(spark):
     sf = "/root/testdata/sf0.01"
     want = {r.doc_id: brute_spans(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = sorted((r.doc_id, r.start_at, r.end_at, r.kind, r.text, r.replacement) for r in entry.queries()["document_spans_all"](spark, sf).collect())
+    got = sorted((r.doc_id, r.start_at, r.end_at, r.kind, r.text, r.replacement) for r in entry.queries()["document_spans"](spark, sf).collect())
     assert got == sorted((i, *s) for i, spans in want.items() for s in spans)
     kinds = Counter(s[2] for spans in want.values() for s in spans)
-    assert kinds["API_KEY"] and {r.kind: r.n for r in entry.queries()["type_summary_all"](spark, sf).collect()} == kinds
-    assert {r.doc_id: r.n for r in entry.queries()["memoised_detect_all"](spark, sf).collect()} == {i: len(s) for i, s in want.items() if s}
+    assert kinds["API_KEY"] and {r.kind: r.n for r in entry.queries()["type_summary"](spark, sf).collect()} == kinds
+    assert {r.doc_id: r.n for r in entry.queries()["memoised_detect"](spark, sf).collect()} == {i: len(s) for i, s in want.items() if s}
 
 
 def test_all_detectors_overlapping(spark):

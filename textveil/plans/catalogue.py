@@ -110,13 +110,8 @@ def _fp(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", t.fingerprint(F.coalesce("text", F.lit("")), "1").alias("fp"))
 
 
-@_add("json_inner", "SELECT page_id, replace(replace(replace(substr(html, 1, 400), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') AS inner_json FROM pages")
+@_add("json_inner", "SELECT page_id, substr(j, 2, length(j) - 2) AS inner_json FROM (SELECT page_id, CAST(to_json(html) AS VARCHAR) AS j FROM pages)")
 def _json(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "pages").select("page_id", t.json_inner(F.substr("html", F.lit(1), F.lit(400))).alias("inner_json"))
-
-
-@_add("json_inner_pages")  # json_inner takes beginnings, as its SQL does
-def _json_pages(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", t.json_inner(F.col("html")).alias("inner_json"))
 
 
@@ -175,8 +170,8 @@ v AS (SELECT doc_id, 'EMAIL' AS kind, replace(unnest(e), '@@', '@') AS text FROM
 SELECT doc_id, kind, text FROM v WHERE kind = 'EMAIL' OR """ + p.valid("CREDIT_CARD", "replace(replace(text, ' ', ''), '-', '')")
 
 
-@_add("document_spans", _DOC_SPANS)
-def document_spans(spark: SparkSession, sf: str) -> DataFrame:
+@_add("document_emails_cards", _DOC_SPANS)
+def _emails_cards(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     kinds = tuple(d for d in detect.DETECTORS if d.kind in ("EMAIL", "CREDIT_CARD"))
     plain = t.normalize_fullwidth(F.coalesce("text", F.lit("")))
@@ -185,24 +180,19 @@ def document_spans(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("type").alias("kind"), "text")
 
 
-@_add("type_summary", f"SELECT kind, count(*) AS n FROM ({_DOC_SPANS}) GROUP BY kind")
-def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return document_spans(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
+# All detectors, arbitrated: the checking engine's patterns can't look around.
 
-# The same with all detectors, arbitrated; the checking engine's patterns can't express them.
 
-
-@_add("document_spans_all")
-def document_spans_all(spark: SparkSession, sf: str) -> DataFrame:
+@_add("document_spans")
+def document_spans(spark: SparkSession, sf: str) -> DataFrame:
     docs = detect.detect_all(_table(spark, sf, "documents").select("doc_id", "text"), today=TODAY)
     rows = sp.exploded(docs.select("doc_id", "spans"), "spans", "doc_id")
     return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), F.col("type").alias("kind"), "text", "replacement")
 
 
-@_add("type_summary_all")
-def _summary_all(spark: SparkSession, sf: str) -> DataFrame:
-    return document_spans_all(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+@_add("type_summary")
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    return document_spans(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Three spans a row, by arithmetic of the key.
@@ -405,19 +395,8 @@ def _cache(spark: SparkSession, sf: str) -> DataFrame:
     return texts.cache_stats(c.select("text").unionByName(c.filter("turn = 0").select("text")), [])
 
 
-@_add("memoised_detect", f"SELECT doc_id, count(*) AS n FROM ({_DOC_SPANS}) GROUP BY doc_id")
+@_add("memoised_detect")
 def _memo(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = tuple(d for d in detect.DETECTORS if d.kind in ("EMAIL", "CREDIT_CARD"))
-
-    def count(df: DataFrame, text: str) -> DataFrame:
-        plain = t.normalize_fullwidth(F.col(text))
-        return df.withColumn("n", F.size(sp.resolve_overlaps(F.concat(*(detect.detect(plain, d) for d in kinds)))).cast("long"))
-
-    return texts.memoised(_table(spark, sf, "documents").select("doc_id", "text"), "text", count).filter("n > 0").select("doc_id", "n")
-
-
-@_add("memoised_detect_all")
-def _memo_all(spark: SparkSession, sf: str) -> DataFrame:
     def count(df: DataFrame, text: str) -> DataFrame:
         return detect.detect_all(df, text, today=TODAY).withColumn("n", F.size("spans").cast("long")).drop("spans", "combination_risk")
 
@@ -534,13 +513,170 @@ def _stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     return masking.restore(found, _numbered(spark, sf), ["stream_id"], ["scope"]).select("stream_id", "restored_text")
 
 
-@_add("reply_events", "SELECT c_custkey AS id, CAST(6 AS BIGINT) AS events, 'hi ' || c_custkey AS text FROM customer")
+@_add("reply_events", """SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 3 = 0 THEN 9 ELSE 6 END AS BIGINT) AS events, 'hi ' || c_custkey AS text,
+  CASE WHEN c_custkey % 3 = 0 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason, CASE WHEN c_custkey % 3 = 0 THEN '{}' ELSE '' END AS arguments FROM customer""")
 def _reply(spark: SparkSession, sf: str) -> DataFrame:
+    # the finish reason of a whole reply doesn't count, its calls do; a call without arguments has {}
     rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    reply = F.concat(F.lit('{"choices":[{"finish_reason":"stop","message":{"content":"hi '), F.col("id").cast("string"), F.lit('"}}]}'))
+    calls = F.when(F.col("id") % 3 == 0, F.lit(', "tool_calls": [{"id": "c", "function": {"name": "f"}}]')).otherwise("")
+    reason = F.when(F.col("id") % 2 == 0, "stop").otherwise("length")
+    reply = F.concat(F.lit('{"choices":[{"finish_reason":"'), reason, F.lit('","message":{"content":"hi '), F.col("id").cast("string"), F.lit('"'), calls, F.lit("}}]}"))
     body = protocol.to_events(reply, "m", F.concat(F.lit("msg_"), F.col("id").cast("string")))
     out = rows.select("id", body.alias("body"))
-    return out.select("id", F.regexp_count("body", F.lit("event: ")).cast("long").alias("events"), F.regexp_extract("body", '"text_delta", "text": "([^"]*)"', 1).alias("text"))
+    get = lambda pattern: F.regexp_extract("body", pattern, 1)
+    return out.select("id", F.regexp_count("body", F.lit("event: ")).cast("long").alias("events"), get('"text_delta", "text": "([^"]*)"').alias("text"), get('"stop_reason": "([^"]+)"').alias("stop_reason"), get('"partial_json": "([^"]*)"').alias("arguments"))
+
+
+_EVENTS = """SELECT c_custkey AS stream_id, unnest(CASE WHEN c_custkey % 2 = 0 THEN [{'e': 'message_start', 'i': NULL, 'p': NULL}, {'e': 'content_block_start', 'i': 0, 'p': 'text'}, {'e': 'content_block_delta', 'i': 0, 'p': 'he'},
+  {'e': 'content_block_delta', 'i': 0, 'p': 'y'}, {'e': 'content_block_stop', 'i': 0, 'p': NULL}, {'e': 'content_block_start', 'i': 1, 'p': 'c7'}, {'e': 'content_block_delta', 'i': 1, 'p': '{'},
+  {'e': 'content_block_delta', 'i': 1, 'p': '}'}, {'e': 'content_block_start', 'i': 2, 'p': 'text'}, {'e': 'content_block_delta', 'i': 2, 'p': 'x'}, {'e': 'content_block_stop', 'i': 2, 'p': NULL},
+  {'e': 'content_block_start', 'i': 3, 'p': 'toolu_msg_' || c_custkey || '_1'}, {'e': 'content_block_stop', 'i': 1, 'p': NULL}, {'e': 'content_block_stop', 'i': 3, 'p': NULL}, {'e': 'message_delta', 'i': NULL, 'p': 'max_tokens'}, {'e': 'message_stop', 'i': NULL, 'p': NULL}]
+  ELSE [{'e': 'message_start', 'i': NULL, 'p': NULL}, {'e': 'message_delta', 'i': NULL, 'p': 'end_turn'}, {'e': 'message_stop', 'i': NULL, 'p': NULL}] END) AS x,
+  generate_subscripts(CASE WHEN c_custkey % 2 = 0 THEN range(16) ELSE range(3) END, 1) AS n FROM customer"""
+
+
+@_add("stream_events", f"SELECT stream_id, CAST(n - 1 AS BIGINT) AS n, x.e AS event, CAST(x.i AS BIGINT) AS block, x.p AS part FROM ({_EVENTS})")
+def _stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    event = lambda delta, rest="": f'data: {{"choices":[{{"delta":{{{delta}}}{rest}}}]}}\n\n'
+    call = lambda i, more: f'"tool_calls":[{{"index":{i}{more}}}]'
+    full = "".join([
+        ": note\n\n", event('"content":"he"'), event('"content":"y"'), "data: not json\n\n", event(call(0, ',"id":"c7","function":{"name":"f","arguments":"{"}')), event(call(0, ',"function":{"arguments":"}"}')),
+        event('"content":"x"'), event(call(1, ""), ',"finish_reason":"length"'), "data: [DONE]\n\n",
+    ])
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("stream_id"))
+    rows = rows.withColumn("body", F.when(F.col("stream_id") % 2 == 0, full).otherwise("data: [DONE]\n\n"))
+    found = protocol.stream_events(rows, "m", F.concat(F.lit("msg_"), F.col("stream_id").cast("string")))
+    get = lambda path: F.get_json_object("data", path)
+    part = F.coalesce(get("$.delta.text"), get("$.delta.partial_json"), get("$.delta.stop_reason"), get("$.content_block.id"), get("$.content_block.type"))
+    return found.select("stream_id", "n", "event", get("$.index").cast("long").alias("block"), part.alias("part"))
+
+
+@_add("stream_deltas", "SELECT c_custkey AS stream_id, unnest(['a ', '[X_' || c_custkey || '] b ', '[y c ', '[NAM']) AS text, unnest([false, false, false, true]) AS is_rest FROM customer")
+def _stream_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    # a token over three events; "[y" waits until it can't be one; "[NAM" is left at the end
+    part = lambda text: F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), text, F.lit('"}}]}\n\n'))
+    k = F.col("stream_id").cast("string")
+    body = F.concat(part(F.lit("a [X")), part(F.concat(F.lit("_"), k)), part(F.lit("] b [y")), part(F.lit(" c [NAM")), F.lit("data: [DONE]\n\n"))
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("stream_id")).withColumn("body", body)
+    return sse.safe_deltas(sse.deltas(sse.events(rows))).select("stream_id", "text", F.col("last").alias("is_rest"))
+
+
+_CONTENTS = """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '{"system":[{"type":"image"}],"messages":[{"content":"x"}]}' WHEN 1 THEN '{"messages":[{"content":[{"type":"text"},{"type":"document"}]}]}'
+  WHEN 2 THEN '{"messages":[{"content":[{"type":"tool_result","content":[{"type":"image"}]}]}]}' ELSE '{"messages":[5,{"content":[{"type":"tool_result","content":"t"}]}]}' END AS body FROM CUSTOMER"""
+
+
+@_add("unsupported_content", "SELECT c_custkey AS id, c_custkey % 4 IN (1, 2) AS bad FROM customer")
+def _unsupported(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _probe(spark, sf, _CONTENTS.replace("{", "{{").replace("}", "}}").replace("CUSTOMER", "{customer}"))
+    return rows.select("id", protocol.has_unsupported(F.col("body")).alias("bad"))
+
+
+@_add("header_projection", "SELECT c_custkey AS id, 'X-A,authorization' AS sent, 'Bearer k' || c_custkey AS credentials, 'X-A' AS answered FROM customer")
+def _headers(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("X-A", "Host", "Authorization", "x-api-key", "Transfer-Encoding", "content-length", "TE")
+    headers = F.create_map(*(F.lit(x) for n in names for x in (n, "v")))
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), headers.alias("h"))
+    sent = payloads.upstream_headers(F.col("h"), F.concat(F.lit("k"), F.col("id").cast("string")))
+    answer = F.create_map(*(F.lit(x) for n in ("X-A", "Content-Encoding", "Connection", "Trailer") for x in (n, "v")))
+    listed = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ",")
+    return rows.select("id", listed(sent).alias("sent"), F.element_at(sent, "authorization").alias("credentials"), listed(payloads.agent_headers(answer)).alias("answered"))
+
+
+_RESPONSES = """SELECT c_custkey AS request_id, '/v1/responses' AS path, '{"instructions":"i","input":[{"content":[{"text":"c' || CAST(c_custkey AS STRING) || '"},{"x":1}]},{"arguments":"g","output":"o"},7,"s"]}' AS body FROM CUSTOMER"""
+
+
+@_add("responses_flatten", "SELECT c_custkey AS request_id, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS ord, unnest(['i', 'c' || c_custkey, 'g', 'o', 's']) AS text FROM customer")
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _probe(spark, sf, _RESPONSES.replace("{", "{{").replace("}", "}}").replace("CUSTOMER", "{customer}"))
+    return payloads.scan(rows).select("request_id", F.col("ord").cast("long").alias("ord"), "text")
+
+
+_RISKY = """SELECT c_custkey AS request_id, '/v1/chat/completions' AS path, '{"messages":[{"content":"u' || CAST(c_custkey AS STRING) || '@ex.com' || CASE WHEN c_custkey % 2 = 0 THEN ' 35歲' ELSE '' END || '"},{"content":"女士 ' || CASE WHEN c_custkey % 3 = 0 THEN '40歲' ELSE '' END || '"}]}' AS body FROM CUSTOMER"""
+
+
+@_add("payload_residual_risk", "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE END AS score, CASE WHEN c_custkey % 3 = 0 THEN 'AGE,GENDER' END AS kinds FROM customer")
+def _payload_risk(spark: SparkSession, sf: str) -> DataFrame:
+    # the worst field counts: an age in one field and a gender in another are no combination
+    rows = _probe(spark, sf, _RISKY.replace("{", "{{").replace("}", "}}").replace("CUSTOMER", "{customer}"))
+    masked, _ = payloads.mask_payloads(rows, ["request_id"], today=TODAY)
+    return masked.select("request_id", "residual_risk.score", F.array_join("residual_risk.contributing_types", ",").alias("kinds"))
+
+
+@_add("restore_body", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'FF5B4E414D455F315D' ELSE hex(encode('{\"t\": \"見 a\\\"b [NAME_2]\"}')) END AS body FROM customer")
+def _restore_body(spark: SparkSession, sf: str) -> DataFrame:
+    # values are escaped for JSON; bytes that aren't UTF-8 pass as they are
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    values = F.create_map(F.lit("[NAME_1]"), F.lit('a"b'))
+    body = F.when(F.col("id") % 3 == 0, F.unhex(F.lit("FF5B4E414D455F315D"))).otherwise(F.encode(F.lit('{"t": "見 [NAME_1] [NAME_2]"}'), "UTF-8"))
+    return rows.select("id", F.hex(masking.restore_body(body, values)).alias("body"))
+
+
+# --- lists, limits, reports -----------------------------------------------------------------
+
+
+@_add("type_list", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'POSITION,E_MAIL' ELSE '' END AS kinds FROM customer")
+def _type_list(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return rows.select("id", F.array_join(t.parse_types(F.when(F.col("id") % 2 == 0, " position, ,e-mail").otherwise(" , ")), ",").alias("kinds"))
+
+
+@_add("span_choice", f"SELECT id, CAST(count(*) FILTER (WHERE id % 3 = 0 OR n = 1 + id % 3) AS BIGINT) AS n FROM ({_RANKED}) GROUP BY id")
+def _choice(spark: SparkSession, sf: str) -> DataFrame:
+    picks = F.when(F.col("id") % 3 > 0, F.array((F.col("id") % 3).cast("int")))
+    return _three(spark, sf).select("id", F.size(sp.chosen(F.col("spans"), picks)).cast("long").alias("n"))
+
+
+@_add("history_limit", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back <= 50")
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.last_of(_table(spark, sf, "events"), ["user_id"], "event_id", 50).select("event_id", "user_id")
+
+
+@_add("states_alive", "SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-10') - epoch(ts) <= 43200")
+def _alive(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.live(_table(spark, sf, "events"), F.lit("2024-01-10 00:00:00").cast("timestamp"), "ts").select("event_id")
+
+
+_SESSIONS = """SELECT user_id, event_id, ts, event_type, CAST(floor(value) AS INT) % 7 AS v, CAST(sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session
+  FROM (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)"""
+
+
+@_add("mapping_idle", f"""SELECT user_id, session, kind, value, row_number() OVER (PARTITION BY user_id, session, kind ORDER BY f) AS n FROM (
+  SELECT user_id, session, CASE WHEN event_type = 'click' THEN 'NAME' ELSE 'EMAIL' END AS kind, 'v' || v AS value, min((ts, event_id)) AS f FROM ({_SESSIONS}) WHERE v IS NOT NULL GROUP BY ALL)""")
+def _mapping_idle(spark: SparkSession, sf: str) -> DataFrame:
+    # any masking call of a scope keeps all of its types alive; after a pause numbers start anew
+    rows = _table(spark, sf, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "click", "NAME").otherwise("EMAIL").alias("type"), F.concat(F.lit("v"), (F.floor("value").cast("int") % 7).cast("string")).alias("value"))
+    calls = mapping.idle_sessions(rows, "user_id", "ts", "event_id")
+    table = mapping.build(calls.filter("value IS NOT NULL"), ["ts", "event_id"], ["user_id", "session"])
+    return table.select("user_id", "session", F.col("type").alias("kind"), "value", "n")
+
+
+@_add("warnings", f"""SELECT scope, '偵測到 ' || CAST(sum(n) AS BIGINT) || ' 筆敏感資訊（' || string_agg(type || ' x' || n, '、' ORDER BY type) || '）' AS found,
+  '本輪新增 ' || CAST(sum(n) AS BIGINT) || ' 筆個資（' || string_agg(type || ' x' || n, '、' ORDER BY type) || '）' AS added FROM (SELECT scope, type, max(n) AS n FROM ({_NUMBERED}) GROUP BY ALL) GROUP BY scope""")
+def _warnings(spark: SparkSession, sf: str) -> DataFrame:
+    counts = mapping.issued_counts(_numbered(spark, sf), ["scope"])
+    rows = counts.groupBy("scope").agg(F.collect_list(F.struct("type", F.col("issued").alias("n"))).alias("c"))
+    return rows.select("scope", r.counts_warning(F.col("c")).alias("found"), r.counts_warning(F.col("c"), r.ADDED).alias("added"))
+
+
+@_add("risk_warning", f"""SELECT id, '組合風險 ' || printf('%.2f', score) || '（' || CASE WHEN score >= 0.6 THEN '高' WHEN score >= 0.3 THEN '中' ELSE '低' END || '）：' || array_to_string(kinds, '、') || ' 同時出現，即使明碼個資已遮蔽，仍可能指認到特定個人' AS head,
+  CAST(CASE WHEN score > 0 THEN len(kinds) ELSE 0 END AS BIGINT) AS hints FROM ({_RISK_SQL})""")
+def _risk_warning(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.split(r.risk_warning(F.col("risk")), "\n")
+    return _risky(spark, sf).select("id", F.get(lines, F.lit(0)).alias("head"), (F.size(lines) - 1).cast("long").alias("hints"))
+
+
+@_add("latency_stats", "SELECT event_type, count(*) AS n, min(value) AS least, round(avg(value), 6) AS mean, median(value) AS mid, max(value) AS most FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth FROM events) WHERE nth > 1 GROUP BY event_type")
+def _latency(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluate.latency_stats(_table(spark, sf, "events"), ["event_type"], "event_id", "value")
+    return found.select("event_type", "n", "least", F.round("mean", 6).alias("mean"), F.col("median").alias("mid"), "most")
+
+
+@_add("label_inventory", "SELECT DISTINCT c_mktsegment AS kind FROM customer UNION SELECT 'B-SIDE' UNION SELECT 'PLAIN'")
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "customer")
+    head = F.when(F.col("c_custkey") % 2 == 0, "B-").otherwise("I-")
+    labels = rows.select(F.concat(head, "c_mktsegment").alias("label")).unionByName(spark.sql("SELECT explode(array('O', 'I-B-SIDE', 'PLAIN')) AS label"))
+    return evaluate.entity_types(labels).select(F.col("type").alias("kind"))
 
 
 @_add("synth_ids", "SELECT CAST(i AS BIGINT) AS id, length(v) AS n, " + p.valid("TW_ID", "v") + " AS ok FROM (SELECT i, 'A123456789' AS v FROM range(500) t(i))")
