@@ -140,21 +140,54 @@ def test_language(spark, docs, empty):
     assert language.fit(empty).predict(["the"])[0] == ("und", 0.0, True)
 
 
-@pytest.mark.parametrize("name", ["docs", "odd"])
-def test_lines_against_brute_force(request, name):
-    table = request.getfixturevalue(name)
+def brute_lines(source, least=5):
+    """The kept text of each (doc_id, text); rows that repeat a doc_id count once."""
     trim = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    source = [(r["doc_id"], r["text"] or "") for r in rows(table)]
     where = {}
     for i, text in source:
         for k in {trim(x) for x in text.split("\n")}:
-            where.setdefault(k, []).append(i)
-    hot = {k: max(x for x in v if x is not None) for k, v in where.items() if len(k) >= 40 and len(v) >= 5}
-    want = sorted(((i, "\n".join(x for x in text.split("\n") if i is None or hot.get(trim(x), i) <= i)) for i, text in source), key=repr)
-    assert sorted(((r["doc_id"], r["text"] or "") for r in rows(line_dedup.dedup_lines(table))), key=repr) == want
+            where.setdefault(k, set()).update([] if i is None else [i])
+    hot = {k: max(v) for k, v in where.items() if len(k) >= 40 and len(v) >= least}
+    return [(i, "\n".join(x for x in text.split("\n") if i is None or hot.get(trim(x), i) <= i)) for i, text in source], hot
+
+
+@pytest.mark.parametrize("name", ["docs", "odd"])
+def test_lines_against_brute_force(request, name):
+    table = request.getfixturevalue(name)
+    want, hot = brute_lines([(r["doc_id"], r["text"] or "") for r in rows(table)])
+    assert sorted(((r["doc_id"], r["text"] or "") for r in rows(line_dedup.dedup_lines(table))), key=repr) == sorted(want, key=repr)
     assert hot
 
 
+def test_a_document_that_repeats_counts_once(spark):
+    table = spark.createDataFrame([(1, LINE)] * 4 + [(2, LINE)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in rows(line_dedup.dedup_lines(table, batches=2, counts=("n_lines", "n_dropped")))} == {0}
+
+
+@pytest.mark.parametrize("fanout,batches", [(2, 9), (3, 5)])
+def test_runs_on_three_levels(spark, fanout, batches):
+    rng = np.random.default_rng(8)
+    lines = [f"{LINE} number {i}" for i in range(12)]
+    source = [(i, "\n".join([*rng.choice(lines, rng.integers(0, 5)), f"only in {i} and nowhere else in the corpus"])) for i in range(70)]
+    table = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in rows(line_dedup.dedup_lines(table, batches=batches, fanout=fanout))}
+    want, hot = brute_lines(source)
+    assert got == dict(want) and 0 < len(hot)
+    runs = line_dedup.LineRuns(fanout)
+    posts = line_dedup.postings(table, "text", "doc_id", 40).withColumn("b", F.pmod("doc", F.lit(batches))).cache()
+    for b in range(batches):
+        runs.add(posts.filter(F.col("b") == b).drop("b"))
+    keys = [(r["h1"], r["h2"]) for run in runs.runs() for r in rows(run)]
+    assert len(keys) == len(set(keys)) == posts.select("h1", "h2").distinct().count()  # a key stands in one run
+    assert len(runs.levels) == (4 if fanout == 2 else 2) and all(len(level) < fanout for level in runs.levels)
+
+
+def test_lines_beside_clashing_columns(docs):
+    table = docs.withColumns({"__drops": F.lit("a"), "__doc": F.lit(1), "__kept": F.lit(2), "h1": F.lit(3), "last": F.lit(4)})
+    got = line_dedup.dedup_lines(table, counts=("n_lines", "n_dropped"))
+    assert got.columns == [*table.columns, "n_lines", "n_dropped"] and {r["__drops"] for r in rows(got)} == {"a"}
+
+
 def test_lines_empty(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 

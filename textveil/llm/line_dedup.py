@@ -1,32 +1,40 @@
 """Line deduplication over levelled sorted runs of line hashes (native).
 
-A line's key is the line without white space at both ends, A-Z lower-cased;
-keys under `min_chars` code points are never dropped. LineRuns keeps, for each
-batch of documents, one run sorted by a 128-bit hash of the key with the number
-of documents and the largest doc_id that hold it. A new batch merge-anti-joins
-the runs to tell first-seen keys from known ones and adds its own run; when
-`fanout` runs stand on a level they are merged into one run of the next level.
-
-A key found in at least `min_docs` documents keeps its lines in the largest
-doc_id only. Defined results: null or empty text is one empty line; a row counts
-as one document, rows that repeat a doc_id count each and are kept alike; rows
-with a null doc_id count, but lose no line; an empty table gives no rows; other
-columns pass through (n_chars, where there is one, is set anew).
+A line's key is the line without white space at both ends, A-Z lower-cased; keys under
+`min_chars` code points are never dropped. Documents come in batches by a hash of their
+id. LineRuns keeps sorted runs (h1, h2, n, last): 128 bits of a key's hash, how many
+documents hold it, and the largest doc_id. A key stands in one run only:
+
+1. A new batch's keys are merge-anti-joined with every run. What is left was never seen
+   before, and becomes the batch's own run; what a run holds is an update of that run.
+2. When `fanout` runs stand on a level they are compacted, with all updates so far, into
+   one run of the next level. So a batch meets at most fanout - 1 runs of each level.
+3. A key is frequent by its run's count and the updates since: updates merge-join the
+   runs, and what they don't touch stands as it was.
+
+A key found in at least `min_docs` documents keeps its lines in the largest doc_id only.
+
+Defined results: null or empty text is one empty line; rows that repeat a doc_id are one
+document when keys are counted, and are kept alike; rows with a null doc_id count for no
+key and lose no line; an empty table gives no rows; other columns pass through, whatever
+their names (n_chars, where there is one, is set anew where lines went).
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import scratch
+from textveil.llm.columns import unused
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-BATCHES = 4
-FANOUT = 4
+BATCH_BYTES = 1 << 30
+BATCHES = (4, 64)  # at least, at most
+FANOUT = 3
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 _SPACE = r"concat(' ', char(9), char(10), char(11), char(12), char(13))"
@@ -34,67 +42,100 @@ _KEY = f"translate(trim(BOTH {_SPACE} FROM l), '{_UPPER}', '{_LOWER}')"
 _LINES = "split(coalesce({text}, ''), '\n', -1)"
 # The constant stands first: xxhash64 chains, so a trailing one would add nothing.
 _HASH = "struct(xxhash64(k) AS h1, xxhash64(7, k) AS h2)"
+KEY = ["h1", "h2"]
 
 
 def postings(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """(doc, h1, h2): each long enough key of a document once."""
-    keys = f"filter(transform({_LINES.format(text=text)}, l -> {_KEY}), k -> char_length(k) >= {int(min_chars)})"
-    return docs.select(
-        F.col(doc_id).alias("doc"),
-        F.explode(F.expr(f"array_distinct(transform({keys}, k -> {_HASH}))")).alias("h"),
-    ).select("doc", "h.h1", "h.h2")
+    """(doc, h1, h2): each long enough key of a row once."""
+    keys = f"filter(transform({_LINES.format(text=f'`{text}`')}, l -> {_KEY}), k -> char_length(k) >= {int(min_chars)})"
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.explode(F.expr(f"array_distinct(transform({keys}, k -> {_HASH}))")).alias("h"))
+    return rows.select("doc", "h.h1", "h.h2")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, n, last, fresh), each sorted by (h1, h2)."""
+    """Levelled runs of keys, and the updates of keys that they hold."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
         self.levels: list[list[DataFrame]] = [[]]
+        self.updates: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add the run of a batch of postings; returns it."""
-        own = batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
-        fresh = own
-        for run in self.runs():
-            fresh = fresh.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        if self.runs():
-            marks = fresh.select("h1", "h2", F.lit(True).alias("is_fresh"))
-            own = own.join(marks.hint("merge"), ["h1", "h2"], "left")
-            own = own.select("h1", "h2", "n", "last", F.coalesce("is_fresh", F.lit(False)).alias("fresh"))
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch of postings, of documents that no other batch has."""
+        own = batch.distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+        if not self.runs():
+            run = scratch.table(own.sortWithinPartitions(*KEY), "run")
         else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = scratch.table(own.sortWithinPartitions("h1", "h2"), "run")
+            own = scratch.table(own.sortWithinPartitions(*KEY), "batch")
+            fresh = own
+            for held in self.runs():
+                fresh = fresh.join(held.select(*KEY).hint("merge"), KEY, "left_anti")
+            run = scratch.table(fresh.sortWithinPartitions(*KEY), "run")
+            known = own.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+            self.updates.append(scratch.table(known.sortWithinPartitions(*KEY), "updates"))
+            scratch.drop(own)
         self.levels[0].append(run)
         self._compact()
-        return run
 
     def _compact(self) -> None:
-        for depth, level in enumerate(self.levels):
+        depth = 0
+        while depth < len(self.levels):
+            level = self.levels[depth]
             if len(level) >= self.fanout:
-                merged = scratch.table(self._merge(level).sortWithinPartitions("h1", "h2"), "run")
-                level.clear()
+                rows, old = _union(level), list(level)
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
+                    if self.updates:  # the lowest level takes all: every key is in it or in a run above
+                        held = _union(old).select(*KEY).withColumn("held", F.lit(True))
+                        summed = _summed(_union(self.updates)).join(held.hint("merge"), KEY, "left")
+                        summed = scratch.table(summed, "updates")
+                        rows = _summed(rows.unionByName(summed.filter("held").drop("held")))
+                        old += self.updates
+                        self.updates = [summed.filter("held IS NULL").drop("held")]
+                merged = scratch.table(rows.sortWithinPartitions(*KEY), "run")
+                level.clear()
                 self.levels[depth + 1].append(merged)
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(
-            F.sum("n").alias("n"), F.max("last").alias("last"), F.bool_or("fresh").alias("fresh")
-        )
+                scratch.drop(*old)
+            depth += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, last) of keys that at least min_docs documents hold."""
-        runs = self.runs()
-        merged = runs[0] if len(runs) == 1 else self._merge(runs)
-        return merged.filter(F.col("n") >= min_docs).select("h1", "h2", "last")
+        held = _union(self.runs())
+        if self.updates:
+            touched = _summed(_union(self.updates)).select(*KEY, F.col("n").alias("more"), F.col("last").alias("later"))
+            grown = held.join(touched.hint("merge"), KEY).select(*KEY, (F.col("n") + F.col("more")).alias("n"), F.greatest("last", "later").alias("last"))
+            held = held.filter(F.col("n") >= min_docs).join(touched.select(*KEY).hint("merge"), KEY, "left_anti").unionByName(grown)
+        return held.filter(F.col("n") >= min_docs).select(*KEY, "last")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    return rows
+
+
+def batch_count(docs: DataFrame, text: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(BATCHES[0], min(BATCHES[1], -(-size // BATCH_BYTES)))
+
+
+def frequent_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int, batches: int | None, fanout: int) -> DataFrame:
+    """(doc, h1, h2) of the lines that go."""
+    batches = batches or batch_count(docs, text)
+    dealt = postings(docs, text, doc_id, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    held = scratch.table(dealt, "postings", partition_by="batch")
+    runs = LineRuns(fanout)
+    for b in range(batches):
+        runs.add(held.filter(F.col("batch") == b).drop("batch"))
+    return held.join(runs.frequent(min_docs), KEY).filter(F.col("doc") < F.col("last")).select("doc", *KEY)
 
 
 def dedup_lines(
@@ -103,50 +144,38 @@ def dedup_lines(
     doc_id: str = "doc_id",
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
-    batches: int = BATCHES,
+    batches: int | None = None,
     fanout: int = FANOUT,
+    counts: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """docs with their kept lines as text, and __n_lines and __n_dropped."""
-    spark = docs.sparkSession
-    held = scratch.table(
-        postings(docs, text, doc_id, min_chars).withColumn(
-            "batch", F.pmod(F.xxhash64(F.coalesce("doc", F.lit(-1))), F.lit(batches)).cast("int")
-        ),
-        "postings",
-        partition_by="batch",
-    )
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(held.filter(F.col("batch") == b).drop("batch"))
-    drops = (
-        held.join(runs.frequent(min_docs), ["h1", "h2"])
-        .filter(F.col("doc") < F.col("last"))
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
-    )
-    lines = _LINES.format(text=text)
+    """docs with their kept lines as text; counts: names of columns for the number of lines
+    before, and of dropped ones."""
+    drops, doc, kept, whole = unused(docs, "drops", "doc", "kept", "whole")
+    gone = frequent_lines(docs, text, doc_id, min_chars, min_docs, batches, fanout)
+    gone = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct(*KEY)).alias(drops))
+    lines = _LINES.format(text=f"`{text}`")
     key_hash = _HASH.replace("k)", f"{_KEY})")
-    keep = f"filter({lines}, l -> char_length(l) < {int(min_chars)} OR NOT array_contains(__drops, {key_hash}))"
-    out = docs.join(drops.withColumnRenamed("doc", "__doc"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
-    out = out.withColumn("__kept", F.when(F.col("__drops").isNotNull(), F.expr(keep)))
+    keep = f"filter({lines}, l -> char_length(l) < {int(min_chars)} OR NOT array_contains(`{drops}`, {key_hash}))"
+    out = docs.join(gone, F.col(doc_id) == F.col(doc), "left").withColumn(kept, F.when(F.col(drops).isNotNull(), F.expr(keep)))
     n_lines = F.size(F.expr(lines)).cast("long")
-    kept_text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text))
-    n_dropped = F.when(F.col("__kept").isNotNull(), n_lines - F.size("__kept")).otherwise(F.lit(0)).cast("long")
-    out = out.withColumns({"__n_lines": n_lines, "__n_dropped": n_dropped, "__text": kept_text})
-    columns = [F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        at = docs.columns.index("n_chars")
-        columns[at] = F.when(F.col("__n_dropped") > 0, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*columns, "__n_lines", "__n_dropped")
+    n_dropped = F.when(F.col(kept).isNotNull(), n_lines - F.size(kept)).otherwise(F.lit(0)).cast("long")
+    out = out.withColumn(whole, F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col(whole).alias(name)
+        if name == "n_chars":
+            return F.when(n_dropped > 0, F.char_length(whole).cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name)
+        return F.col(f"`{name}`")
+
+    more = [n_lines.alias(counts[0]), n_dropped.alias(counts[1])] if counts else []
+    return out.select(*map(column, docs.columns), *more)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select(
-        "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    return dedup_lines(docs, counts=("n_lines", "n_dropped")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )
 
 
