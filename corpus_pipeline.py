@@ -48,7 +48,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a larger doc_id keeps."""
-    return line_dedup.dedup_lines(docs).drop("__n_lines", "__n_dropped")
+    return line_dedup.dedup_lines(docs)
 
 
 @_stage
