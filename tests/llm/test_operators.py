@@ -55,6 +55,25 @@ def test_permutation_and_its_inverse(n):
     assert mixing.permute(there, n, 42, back=True).tolist() == list(range(n))
 
 
+def test_hypergeometric_draws():
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    drawn = np.bincount([mixing.hypergeometric(rng, 7, 5, 6) for _ in range(20_000)], minlength=8) / 20_000
+    assert np.abs(drawn - [comb(7, k) * comb(5, 6 - k) / comb(12, 6) if 1 <= k <= 6 else 0 for k in range(8)]).max() < 0.012
+    assert mixing.hypergeometric(rng, 0, 9, 4) == 0 and mixing.hypergeometric(rng, 9, 0, 4) == 4
+    large = np.array([mixing.hypergeometric(rng, 3 * 10**10, 10**10, 2 * 10**10) for _ in range(40)], float)
+    deviation = (2e10 * 0.75 * 0.25 * 0.5) ** 0.5
+    assert np.abs(large - 1.5e10).max() < 6 * deviation and large.std() > deviation / 2
+
+
+def test_shards_counts_of_any_size_add_up():
+    totals = np.array([10**12, 0, 3, 57 * 10**9])
+    parts = [mixing.shard_counts(totals, i, 5, 1) for i in range(5)]
+    assert (sum(c for c, _ in parts) == totals).all() and all((c >= 0).all() for c, _ in parts)
+    assert [int(c.sum()) for c, _ in parts] == [(i + 1) * int(totals.sum()) // 5 - i * int(totals.sum()) // 5 for i in range(5)]
+
+
 def test_shards_counts_add_up():
     totals = np.array([100, 0, 3, 57])
     parts = [mixing.shard_counts(totals, i, 7, 1) for i in range(7)]
@@ -75,6 +94,8 @@ def test_mixing_takes_the_targets(request, name):
     texts = rows(mixing.materialise(table, mix))
     assert sum(len(re.findall(mixing.WORD, r["text"])) for r in texts) == sum(r["taken"] for r in got)
     assert set(texts[0]) == set(table.columns)
+    clash = table.withColumns({"__size": F.lit("k"), "__h": F.lit("h"), "copy_no": F.lit(7), "first": F.lit(8)})
+    assert all((r["__size"], r["__h"], r["copy_no"], r["first"]) == ("k", "h", 7, 8) for r in rows(mixing.materialise(clash, mix)))
 
 
 def brute_vectors(vectors, labels):
@@ -324,7 +345,6 @@ def test_packing_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     pieces = rows(packing.pack(odd, packing.tokenizer_path()))
     texts = sorted(((r["doc_id"], r["text"] or "") for r in rows(odd)), key=repr)
     got = {}
@@ -344,11 +364,27 @@ def test_packing_round_trip(odd, empty):
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["it's DON'T [x] 'll", "a b  c", "<|endoftext|> x", "İstanbul Σας ΣΑΣ", "naïve—dash “q” 3.14 ½", "\x1cab\x85cd", "x" * 300, "ÀÉÎõü ß"])
-def test_words_ids_are_the_tokenizers(text):
-    words = packing.word_ids(packing.tokenizer_path())
-    assert np.frombuffer(words.of_text(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert words.direct
+ODD_TEXTS = ["it's DON'T [x] 'll", "a b  c", "<|endoftext|> x", "a<|StartOfText|>b <|startoftext|>", "İstanbul Σας ΣΑΣ", "naïve—dash “q” 3.14 ½", "\x1cab\x85cd", "x" * 300, "ÀÉÎõü ß", "", "\u00a0a\u3000b\x0b\x0cc"]
+
+
+@pytest.mark.parametrize("size", [300_000, 3])
+def test_words_ids_are_the_tokenizers(size):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.tokenizer_path())
+    words = packing.WordIds(packing.tokenizer_path(), size)
+    got = map(words.of_text, ODD_TEXTS + ODD_TEXTS[::-1])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS + ODD_TEXTS[::-1]]
+    assert words.by_word and words.direct
+
+
+def test_steps_are_balanced():
+    sizes = [4096] * 50 + [2048] * 11 + [512] * 9 + [16, 1]
+    steps = packing.step_groups(sizes, 32_768)
+    held = [[s for s, k in zip(sizes, steps, strict=True) if k == step] for step in range(max(steps) + 1)]
+    totals = [sum(h) for h in held]
+    assert len(held) == round(sum(sizes) / 32_768) and max(totals) - min(totals) <= 2048 and max(map(len, held)) - min(map(len, held)) <= 8
+    assert packing.step_groups([]) == [] and packing.step_groups([5]) == [0]
 
 
 def test_plan_pads_little():
@@ -434,10 +470,10 @@ def test_language_rejects_what_it_has_not_learned(spark):
     junk += ["".join(rng.choice(letters + list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 600)) for _ in range(30)]
     junk.append("Helsinki on Suomen pääkaupunki ja maan suurin kaupunki, jossa asuu paljon ihmisiä eri puolilta maailmaa ja jossa on hyvät kulkuyhteydet muualle.")
     assert all(r for _, _, r in model.predict(junk))
-    assert language.identify(docs.filter("text RLIKE '[a-zA-Z]'"), model).filter("__rejected").count() == 0
+    assert language.identify(docs.filter("text RLIKE '[a-zA-Z]'"), model).filter("rejected").count() == 0
     for left_out in ("de", "es", "fr"):  # rows of other languages hold English
         other = language.fit(known.filter(F.col("lang") != left_out))
-        got = language.identify(docs.filter((F.col("lang") == left_out) & (F.length("text") > 600)), other).agg(F.avg(F.col("__rejected").cast("int")).alias("r")).first().r
+        got = language.identify(docs.filter((F.col("lang") == left_out) & (F.length("text") > 600)), other).agg(F.avg(F.col("rejected").cast("int")).alias("r")).first().r
         assert got > 0.8, left_out
 
 

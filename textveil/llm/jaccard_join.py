@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm import ids, scratch, workers
 from textveil.llm import shingles as sh
+from textveil.llm.columns import unused
 from textveil.llm.components import components
 
 PERCENT = 80
@@ -301,8 +302,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id all stay or go; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    (gone,) = unused(docs, "gone")
+    found = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs["doc_id"] == found[gone], "left_anti")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

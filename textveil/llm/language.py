@@ -12,7 +12,7 @@ of a text counts, at scoring.
 Defined results: null, empty and letterless texts are `und`, score 0, rejected;
 if no labelled row has a letter, every text is; rows that repeat count each; null
 doc_ids are never learned from; other columns aren't read. The driver holds the
-sample's counts (SAMPLE rows of DIMS numbers for a language at most).
+sample's counts (rows of DIMS numbers: SAMPLE for a language, TOTAL in all, at most).
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import samples, workers
+from textveil.llm.columns import unused
 
 DIMS = 4096
 CENTROIDS = 3
 SAMPLE = 800  # labelled rows a language, about
+TOTAL = 64_000  # labelled rows of all languages, about
 REJECT = 0.6  # of the 0.5 % quantile of the cosines in the language's sample
 SURE = 100  # letters
 CHUNK_CHARS = 1 << 18
@@ -118,7 +120,7 @@ def _k_means(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from labelled (doc_id, text, lang); null langs are left out."""
     rows = labelled.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    picked = samples.bounded(rows, "lang", "doc_id", sample)
+    picked = samples.bounded(rows, "lang", ["doc_id", "text"], sample, TOTAL)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,8 +152,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     return model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with __lang, __score and __rejected; the other columns are kept as they are."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with their language, score and whether it is rejected, under these names;
+    the other columns are kept as they are."""
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -161,7 +164,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         finally:
             workers.give_back()
 
-    return docs.withColumn("__l", of(text)).withColumns({"__lang": F.col("__l.lang"), "__score": F.col("__l.score"), "__rejected": F.col("__l.rejected")}).drop("__l")
+    (found,) = unused(docs, "found")
+    rows = docs.withColumn(found, of(text))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{found}.{a}").alias(b) for a, b in zip(("lang", "score", "rejected"), names, strict=True)))
+
+
+def known_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without those that are rejected."""
+    names = unused(docs, "lang_pred", "score", "rejected")
+    return identify(docs, model, text, tuple(names)).filter(~F.col(names[2])).drop(*names)
 
 
 def learn_from(docs: DataFrame) -> DataFrame:
@@ -173,4 +184,4 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(learn_from(docs))
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (samples.crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return found.select("doc_id", samples.held_out("doc_id", 4, 2), "lang_pred", "score", "rejected")

@@ -13,8 +13,8 @@ epoch k div N: every block once before any twice. Blocks join slots by index. Th
 last slot of a source may take a part of its block, so the words taken are the
 target's to a word, and no document is taken more often than its source.
 
-Defined results: null or empty texts have size 0 and are never taken; rows that
-repeat a doc_id are documents of their own; a null source is a source; an empty
+Draws of any size follow the same rule. Defined results: null or empty texts have size 0
+and are never taken; rows that repeat a doc_id are documents of their own; a null source is a source; an empty
 table gives no rows; columns besides text, doc_id and source pass through
 materialise() and clash with nothing. The driver holds one number set per source.
 """
@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textveil.llm import scratch, workers
+from textveil.llm.columns import unused
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -39,7 +40,7 @@ SHARD_SLOTS = 2048
 BUCKET_ROWS = 20_000
 SEED = 20_240_501
 WORD = r"[^\x20\x09-\x0D]+"
-EXACT_BELOW = 900_000_000  # numpy's hypergeometric draws end at 10^9; larger nodes split in proportion
+SIGMAS = 12  # a draw's probabilities are summed so far around the mode; beyond is less than 10^-30
 
 
 def targets(sizes: list[int], weights: list[float], ceiling: float = CEILING) -> list[float]:
@@ -119,21 +120,49 @@ def _key(seed: int, source: int, epoch: int) -> int:
     return seed * 1_000_003 + source * 8_191 + epoch
 
 
-def shard_counts(totals: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots by source in this shard, and in those before it."""
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many good ones a sample without replacement has, of any totals.
+
+    By the inverse of the distribution function, from ratios of successive probabilities
+    around the mode: work follows the standard deviation, the root of the totals.
+    """
+    low, high = max(0, sample - bad), min(sample, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (total + 2)))
+    width = int(SIGMAS * (sample * (good / total) * (bad / total) * ((total - sample) / max(total - 1, 1))) ** 0.5) + 64
+    low, high = max(low, mode - width), min(high, mode + width)
+    k = np.arange(low, high, dtype=np.int64)
+    ratio = ((good - k) / (k + 1.0)) * ((sample - k) / (bad - sample + k + 1.0))
+    log = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    up_to = np.cumsum(np.exp(log - log.max()))
+    return low + int(min(np.searchsorted(up_to, rng.random() * up_to[-1], side="right"), high - low))
+
+
+def split(counts: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate hypergeometric draw of want slots from counts by source."""
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        out[i] = hypergeometric(rng, c, rest, want) if c else 0
+        want -= int(out[i])
+    return out
+
+
+def shard_counts(totals: np.ndarray, shard: int, shards: int, seed: int, held: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots by source in this shard, and in those before it. held: draws of nodes, for use again."""
     counts, before, lo, hi = totals.astype(np.int64), np.zeros(len(totals), np.int64), 0, shards
     total = int(totals.sum())
     edge = lambda i: i * total // shards
+    held = {} if held is None else held
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        want, have = edge(mid) - edge(lo), edge(hi) - edge(lo)
-        if have < EXACT_BELOW:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, want, method="marginals")
-        else:
-            exact = [int(c) * want for c in counts]
-            left = np.array([x // have for x in exact], np.int64)
-            order = sorted(range(len(exact)), key=lambda i: (-(exact[i] % have), i))
-            left[order[: want - int(left.sum())]] += 1
+        left = held.get((lo, hi))
+        if left is None:
+            left = split(counts, edge(mid) - edge(lo), np.random.default_rng([seed, lo, hi]))
+            if len(held) < 4096:
+                held[lo, hi] = left
         if shard < mid:
             counts, hi = left, mid
         else:
@@ -147,9 +176,10 @@ def slots(spark: SparkSession, sources: list[Source], block: int = BLOCK_WORDS,
     shards = -(-int(totals.sum()) // shard_slots) if len(sources) else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for pdf in batches:
             for shard in pdf["id"].tolist():
-                counts, before = shard_counts(totals, shard, shards, seed)
+                counts, before = shard_counts(totals, shard, shards, seed, held)
                 parts = []
                 for s in np.flatnonzero(counts):
                     src = sources[s]
@@ -169,14 +199,19 @@ def slots(spark: SparkSession, sources: list[Source], block: int = BLOCK_WORDS,
     return spark.range(shards).mapInPandas(workers.lean(run), "shard long, slot long, source_no int, epoch long, block long, take long")
 
 
-def _copy_no(columns: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy("doc_id").orderBy(*columns))
+ROW = ["doc_id", "h", "copy_no"]  # what tells a row: its id, a hash of text and source, and its number among equal ones
+
+
+def _rows(docs: DataFrame, h: str, copy_no: str) -> DataFrame:
+    """docs with h and copy_no; rows with a null or repeated id are told apart by what they hold."""
+    rows = docs.withColumn(h, F.xxhash64("text", "source"))
+    return rows.withColumn(copy_no, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(h)))
 
 
 @dataclass
 class Mix:
-    """sizes: (doc_id, copy_no, source_no, size, source_size, target); slots: see slots();
-    uses: (doc_id, copy_no, epoch, first, past): words of a document that a slot takes."""
+    """sizes: (ROW, source_no, size, source_size, target); slots: see slots(); uses: (ROW,
+    epoch, first, past): words of a document that a slot takes."""
 
     sizes: DataFrame
     slots: DataFrame
@@ -184,10 +219,10 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """sizes with taken: words that the mix takes of each document."""
-        used = self.uses.groupBy("doc_id", "copy_no").agg(F.sum(F.col("past") - F.col("first")).alias("taken"))
-        used = used.withColumnsRenamed({"doc_id": "u_doc", "copy_no": "u_copy"})
-        on = self.sizes["doc_id"].eqNullSafe(used["u_doc"]) & (self.sizes["copy_no"] == used["u_copy"])
-        return self.sizes.join(used, on, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("u_doc", "u_copy")
+        used = self.uses.groupBy(*ROW).agg(F.sum(F.col("past") - F.col("first")).alias("taken"))
+        used = used.withColumnsRenamed({c: f"u_{c}" for c in ROW})
+        on = [self.sizes[c].eqNullSafe(used[f"u_{c}"]) for c in ROW]
+        return self.sizes.join(used, on, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop(*(f"u_{c}" for c in ROW))
 
 
 def mix_sources(
@@ -200,8 +235,9 @@ def mix_sources(
 ) -> Mix:
     """Plan the mix of docs (doc_id, text, source)."""
     spark = docs.sparkSession
-    found = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
-    found = found.withColumn("copy_no", _copy_no(["size", "h", "source"])).drop("h")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    found = docs.select("doc_id", "source", size, F.xxhash64("text", "source").alias("h"))
+    found = found.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")))
     found = scratch.table(found, "sizes")
     totals = found.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"]))
@@ -216,21 +252,21 @@ def mix_sources(
 
     # Where each document starts among its source's words: buckets, then inside a bucket.
     buckets = max(256, sum(r["n"] for r in totals) // BUCKET_ROWS)
-    placed = sizes.filter("size > 0").select("doc_id", "copy_no", "source_no", "size", F.pmod(F.xxhash64("doc_id", "copy_no", F.lit(seed)), F.lit(buckets)).alias("bucket"))
+    placed = sizes.filter("size > 0").select(*ROW, "source_no", "size", F.pmod(F.xxhash64(*ROW, F.lit(seed)), F.lit(buckets)).alias("bucket"))
     before = F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")
     base = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select("source_no", "bucket", before.alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy("doc_id", "copy_no")) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy(*ROW)) - F.col("size")
     placed = placed.withColumn("inside", inside).join(base, ["source_no", "bucket"])
     start, b = F.col("start"), F.lit(block)
-    placed = placed.select("doc_id", "copy_no", "source_no", "size", (F.col("base") + F.col("inside")).alias("start"))
+    placed = placed.select(*ROW, "source_no", "size", (F.col("base") + F.col("inside")).alias("start"))
     segments = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     first = F.greatest(start, F.col("block") * b)
     past = F.least(start + F.col("size"), (F.col("block") + 1) * b)
-    segments = segments.select("doc_id", "copy_no", "source_no", "block", (first - start).alias("first"), (first - F.col("block") * b).alias("at"), (past - first).alias("n"))
+    segments = segments.select(*ROW, "source_no", "block", (first - start).alias("first"), (first - F.col("block") * b).alias("at"), (past - first).alias("n"))
     drawn = slots(spark, sources, block, shard_slots, seed)
     # drawn grows with the mix though its plan starts from a small range: never broadcast
     uses = segments.join(drawn.hint("merge"), ["source_no", "block"]).filter("take > at")
-    uses = uses.select("doc_id", "copy_no", "epoch", "first", (F.col("first") + F.least("n", F.col("take") - F.col("at"))).alias("past"))
+    uses = uses.select(*ROW, "epoch", "first", (F.col("first") + F.least("n", F.col("take") - F.col("at"))).alias("past"))
     return Mix(sizes, drawn, uses)
 
 
@@ -252,15 +288,15 @@ def materialise(docs: DataFrame, mix: Mix) -> DataFrame:
     """The mix's documents, with the columns of docs: one row for each epoch that
     takes words of a document, its text cut to these words where it isn't whole."""
     cut = F.pandas_udf(_cut, "string")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size).withColumn("__copy", _copy_no([F.col("__size"), F.xxhash64("text"), F.col("source")]))
-    cuts = mix.uses.groupBy("doc_id", "copy_no", "epoch").agg(F.collect_list(F.struct("first", "past")).alias("__cuts"), F.sum(F.col("past") - F.col("first")).alias("__took"))
-    cuts = cuts.withColumnsRenamed({"doc_id": "__doc", "copy_no": "__no", "epoch": "__epoch"})
-    both = rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["__doc"]) & (rows["__copy"] == cuts["__no"]))
-    both = both.withColumn("__text", F.when(F.col("__took") == F.col("__size"), F.col("text")).otherwise(cut("text", "__cuts")))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
+    h, copy_no, size, taken_cuts, took, epoch, part, *row = unused(docs, "h", "copy_no", "size", "cuts", "took", "epoch", "part", *(f"u_{c}" for c in ROW))
+    rows = _rows(docs, h, copy_no).withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    cuts = mix.uses.groupBy(*ROW, F.col("epoch").alias(epoch)).agg(F.collect_list(F.struct("first", "past")).alias(taken_cuts), F.sum(F.col("past") - F.col("first")).alias(took))
+    cuts = cuts.withColumnsRenamed(dict(zip(ROW, row, strict=True)))
+    both = rows.join(cuts, [rows[a].eqNullSafe(cuts[b]) for a, b in zip(("doc_id", h, copy_no), row, strict=True)])
+    both = both.withColumn(part, F.when(F.col(took) == F.col(size), F.col("text")).otherwise(cut("text", taken_cuts)))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(part)}
     if "n_chars" in columns:
-        columns["n_chars"] = F.char_length("__text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.char_length(part).cast(docs.schema["n_chars"].dataType)
     return both.select(*(c.alias(name) for name, c in columns.items()))
 
 

@@ -1,13 +1,14 @@
 """Hierarchical multi-length packing of tokenised documents.
 
 Documents are tokenised (tokenizers file, its path a parameter), get the end id,
-and are dealt by a hash of their id into buckets of about `bucket_bytes` bytes of
+and are dealt by a hash of id and tokens into buckets of about `bucket_bytes` bytes of
 text. In each bucket: documents longer than the largest window give full windows,
 the rest is routed to the smallest context-size tier that holds it; each tier is
 packed best-fit; gaps of long windows are filled from the pieces of shorter tiers,
 cut where the gap ends; what is left over is cut to full windows of ever smaller
 tiers, so only a tail under the smallest tier is padded. Sequences are dealt into
-step groups of about equal token counts.
+step groups of about equal token counts and lengths, longest first. Ids are those of
+the tokenizer, added tokens in a text included.
 
 Defined results: null text is the empty text (its end id alone); rows that repeat
 a doc_id are packed each; an empty table gives no rows; other columns are not
@@ -17,6 +18,7 @@ a bucket makes its bucket that much larger.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -50,8 +52,8 @@ def _byte_chars() -> list[str]:
 
 
 class WordIds(dict):
-    """Word -> its ids as bytes. A word holds no white space, so the tokenizer's
-    ids of a text are those of its words in order; words that are letters with
+    """Word -> its ids as bytes, for tokenizers that lower-case and whose ids of a text are
+    those of its words between white space, in order (probed; others get whole texts). Words that are letters with
     trailing ASCII punctuation go to the BPE model at once, others to the whole
     tokenizer. Bounded: emptied when `size` words are held."""
 
@@ -62,12 +64,14 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token is found in a text before its words are: such texts go to the whole tokenizer
+        self.added = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.size, self.parts = size, {}
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         self.chars = _byte_chars()
         probe = "déjà vu, the façade... naïve!! größe"
         self.direct = [i for w in probe.split() for i in np.frombuffer(self._of_word(w), "<u4")] == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self.by_word = b"".join(map(self._whole, self._probe.lower().split())) == self._whole(self._probe)
 
     def _model(self, part: str) -> bytes:
         got = self.parts.get(part)
@@ -89,16 +93,21 @@ class WordIds(dict):
         if self.direct and self._simple.fullmatch(word):
             got = self._of_word(word)
         else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            got = self._whole(word)
         self[word] = got
         return got
 
-    _odd = re.compile("[\x1c-\x1fİΣ]")  # split or lower-cased otherwise by Python
+    _odd = "\x1c\x1d\x1e\x1fİΣ"  # split or lower-cased otherwise by Python
+    _probe = "Déjà vu,  the façade...\n\tnaïve!! GRÖSSE it's 3.14 [x] a_b\r\n\n漢字 don't"
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def of_text(self, text: str) -> bytes:
-        if self._odd.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        lower = text.lower()
+        if not self.by_word or any(c in text for c in self._odd) or any(a in lower for a in self.added):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 _ids: dict[str, WordIds] = {}
@@ -173,6 +182,19 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS, least: int = LEAST)
     return sequences
 
 
+def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
+    """Step of each sequence: the longest first, each to the step that has the fewest tokens
+    so far, so that steps hold about equal counts of tokens and of each length."""
+    steps = max(1, round(sum(sizes) / step_tokens))
+    held = [(0, s) for s in range(steps)]
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        total, step = held[0]
+        out[i] = step
+        heapq.heapreplace(held, (total + sizes[i], step))
+    return out
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 16-bit numbers, or 32-bit for larger vocabularies."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -206,13 +228,13 @@ def pack(
     buckets = max(1, -(-((size["b"] or 0) + 8 * size["n"]) // bucket_bytes))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "n_tokens", "ids"], kind="stable").reset_index(drop=True)
         bucket = int(pdf["bucket"].iloc[0])
         docs_of, lengths, blobs = pdf["doc_id"].tolist(), pdf["n_tokens"].tolist(), pdf["ids"].tolist()
-        out, seen = [], 0
-        for number, sequence in enumerate(plan(lengths, tiers)):
-            at, total = 0, sum(p[2] for p in sequence)
-            group = (bucket << 32) + seen // step_tokens
+        out, sequences = [], plan(lengths, tiers)
+        sizes = [sum(p[2] for p in q) for q in sequences]
+        for number, (sequence, total, step) in enumerate(zip(sequences, sizes, step_groups(sizes, step_tokens), strict=True)):
+            at, group = 0, (bucket << 32) + step
             tier = next(t for t in tiers if t >= total)
             for doc, start, n in sequence:
                 width = len(blobs[doc]) // lengths[doc]  # bytes an id
@@ -220,11 +242,10 @@ def pack(
                 crc = zlib.crc32(np.frombuffer(part, f"<u{width}").astype("<u4").tobytes())
                 out.append((docs_of[doc], start, n, crc, lengths[doc], (bucket << 32) + number, at, total, tier, group, part if with_ids else None))
                 at += n
-            seen += total
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "tier", "step_group", "ids"])
 
     rows = tokenized(docs, tokenizer_path, text, doc_id, end_id)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("long"))
     return rows.groupBy("bucket").applyInPandas(run, PIECES).withColumn("doc_id", ids.emptied("doc_id"))
 
 

@@ -188,11 +188,13 @@ def score(docs: DataFrame, model: Machine, metadata: tuple[str, ...] = ()) -> Da
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int, folds: int = 5, held: int = 0) -> DataFrame:
     """docs with label, of a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample's ids (a few ten thousand at most) are broadcast to the documents.
+    The sample's ids (a few ten thousand: `sample` of each label, as labels repeat few ids)
+    are broadcast to the documents; of these 2 * sample a label at most are learned from.
     """
     rows = labels.filter(F.col(column).isin(0, 1) & (samples.crc_mod("doc_id", folds) != held)).select("doc_id", F.col(column).cast("int").alias("label"))
-    picked = samples.bounded(rows, "label", "doc_id", sample)
-    return docs.join(F.broadcast(picked), "doc_id")
+    picked = samples.bounded(rows, "label", ["doc_id"], sample).dropDuplicates(["doc_id", "label"])
+    # a doc_id may stand for any number of documents: the rows themselves are bounded too
+    return samples.bounded(docs.join(F.broadcast(picked), "doc_id"), "label", ["doc_id", "text"], 2 * sample)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +202,4 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = fit(labelled_sample(docs, labels, "quality", SAMPLE), ("n_chars",))
     found = score(docs, model, ("n_chars",))
-    return found.select("doc_id", (samples.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", samples.held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -14,6 +14,11 @@ each round; and each of these also with its kernel values as one and two inserte
 letters would leave them. A text's margin is its highest sentence's; the score is the
 margin's logistic, fitted on the sample. All of a text is read.
 
+Bounds, all on what is fitted: SAMPLE labelled rows a class, CANDIDATES pieces, LANDMARKS.
+At scoring, values under LEAST count as 0 by definition of the features: at LEAST, an
+insult with four inserted letters (DECAY ** 4) and no other likeness is left out. Words
+are passed over only where the kernel is 0: without a common subsequence of its order.
+
 Defined results: null is the empty text; texts without tokens have the score of an
 empty sentence; without both labels in the sample every score is 0; rows that repeat
 are scored alike; null doc_ids are scored; other columns aren't read.
@@ -37,7 +42,8 @@ ORDER = 4  # at least; see order_of()
 DECAY = 0.7
 WINDOW = 8
 LEAST = 0.3  # smaller kernel values count as none: more than three inserted letters
-LANDMARKS = 64
+LANDMARKS = 64  # at most: the Nystroem basis
+CANDIDATES = 4_000  # pieces of the sample that landmarks are chosen from: those in most toxic texts
 SAMPLE = 3_000  # labelled rows of each class, about
 CHUNK_BYTES = 1 << 20
 WIDTHS = (6, 9, 12, 16, 24, 40)  # words of like lengths are compared together,
@@ -319,7 +325,7 @@ def fit(sample: DataFrame) -> Model:
     if not totals.get(0) or not totals.get(1):
         return Model([])
     pieces = candidates(sample)
-    typical = [tuple(r) for r in pieces.filter((F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("toxic"), "piece").limit(4_000).collect()]
+    typical = [tuple(r) for r in pieces.filter((F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("toxic"), "piece").limit(CANDIDATES).collect()]
     landmarks = choose(typical, totals[1], totals[0])
     if not landmarks:
         return Model([])
@@ -378,4 +384,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = fit(labelled_sample(docs, labels, "toxic", SAMPLE))
     found = score(docs, model)
-    return found.select("doc_id", (samples.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", samples.held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
