@@ -42,7 +42,7 @@ def _stage(work: Stage) -> Stage:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; the others (rejected) go."""
     model = language.fit(language.learn_from(docs))
-    return language.identify(docs, model).filter("NOT __rejected").drop("__lang", "__score", "__rejected")
+    return language.known_languages(docs, model)
 
 
 @_stage
