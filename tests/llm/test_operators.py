@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import embedding_dedup, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality, substring_dedup, toxicity
+from textveil.llm import embedding_dedup, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality, samples, substring_dedup, toxicity
 
 LONG = " ".join(f"w{i * 7919 % 1000}" for i in range(3000))
 LINE = "this line is long enough to be counted as boilerplate"
@@ -128,6 +128,19 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_norm_over_many_shards(spark):
+    """A hot label over many shards, groups of near copies, norms that overflow or vanish."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(90, 16))
+    vectors = [base[i % 90 if i % 3 else 0] + rng.normal(size=16) * rng.choice([0, 0.02, 0.05]) for i in range(900)]
+    vectors = [v * s for v, s in zip(vectors, rng.choice([1.0, 1e200, 1e-200], 900), strict=True)]
+    labels = [0 if i % 5 else i % 4 for i in range(900)]
+    table = spark.createDataFrame([(i, [float(x) for x in v], k) for i, (v, k) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embedding_dedup.near_vectors(table, shard_rows=100))}
+    unit = [v / np.abs(v).max() for v in vectors]
+    assert got == brute_vectors(unit, labels) and max(n for n, _ in got.values()) > 200
+
+
 def test_fingerprints(docs, odd, empty):
     got = {r["doc_id"]: r for r in rows(fingerprints.fingerprint_edits(docs))}
     for i, t in enumerate(TEXTS):
@@ -142,6 +155,40 @@ def test_fingerprints(docs, odd, empty):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def brute_fingerprint(text):
+    """Bins one by one: least hash, then the first non-empty bin in each empty bin's own order."""
+    values = fingerprints.sh.shingles(*fingerprints.sh.words([text.encode()]), pad=True)[0].tolist()
+    bins = {}
+    for v in values:
+        bins[v >> 56] = min(bins.get(v >> 56, 1 << 64), v & ((1 << 56) - 1))
+    full = [bins.get(b, bins[next(c for c in fingerprints._ORDER[b] if c in bins)] if bins else 0) for b in range(256)]
+    return "".join(f"{v & 15:x}" for v in full), bool(bins)
+
+
+def test_fingerprints_bin_by_bin(spark, odd):
+    def like(a, b):
+        (x, some), (y, other) = a, b
+        return min(1, max(0, (sum(p == q for p, q in zip(x, y, strict=True)) / 256 - 1 / 16) / (15 / 16))) if some and other else float(some == other)
+
+    h = {r["text"]: r["h"] for r in rows(odd.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))}
+    source = sorted(((r["doc_id"], r["text"] or "") for r in rows(odd)), key=lambda p: (p[0] is not None, p[0] or 0, h.get(p[1], h.get(None))))
+    want = []
+    for k, (i, text) in enumerate(source):
+        following = source[(k + 1) % len(source)][1]
+        edited = fingerprints.edited_text(text, following)
+        own, changed, after = map(brute_fingerprint, (text, edited, following))
+        want.append((i, own[0], changed[0], round(like(own, changed), 9), round(like(own, after), 9)))
+    got = [(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows(fingerprints.fingerprint_edits(odd, bucket_bytes=2_000))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_ranges_split_an_id():
+    cut_doc, cut_h = np.array([3, 5, 5, 5, 9]), np.array([0, -2, 4, 7, 1])
+    pairs = [(d, h) for d in range(11) for h in range(-4, 10)]
+    want = [sum((a, b) < p for a, b in zip(cut_doc.tolist(), cut_h.tolist(), strict=True)) for p in pairs]
+    assert fingerprints.range_of(*(np.array(x) for x in zip(*pairs, strict=True)), cut_doc, cut_h).tolist() == want
+
+
 def test_fingerprint_estimates_resemblance():
     words = [f"w{i}" for i in range(4000)]
     for share in (0.25, 0.5, 0.8, 0.95):
@@ -152,6 +199,50 @@ def test_fingerprint_estimates_resemblance():
     assert (fingerprints.unpacked(fingerprints.packed(low)[0]) == low[0]).all()
 
 
+def test_language_is_that_of_the_nearest_centroid(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(language.learn_from(texts))
+    for r in rows(language.identify(texts, model)):
+        cells = np.zeros(language.DIMS)
+        for a, b, c in zip(*[f"\0{(r['text'] or '').lower()}\0"[k:] for k in range(3)], strict=False):
+            x, y, z = (ord(ch) if ch.isalpha() else 0 for ch in (a, b, c))
+            if y:
+                one = y * 0xC2B2AE3D27D4EB4F
+                two = one + x * 0x9E3779B97F4A7C15 + 1
+                for value in (one, two, two + 1 + z * 0x165667B19E3779F9):
+                    cells[(value * 0x9E3779B97F4A7C15) % (1 << 64) >> 52] += 1
+        if not cells.any():
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        v = np.log1p(cells) * model.idf
+        cosine = model.centroids.astype(float) @ v / np.linalg.norm(v)
+        near = {model.languages[i] for i in np.flatnonzero(cosine > cosine.max() - 1e-5)}
+        assert r["lang_pred"] in near and abs(r["score"] - min(1, max(0, cosine.max()))) < 1e-5
+
+
+def test_held_out_rows_reach_no_fit(spark):
+    """Their labels may be anything: the samples never hold them, nor rows without an id."""
+    import zlib as z
+
+    docs = spark.createDataFrame([(i, f"t{i}", "aa") for i in range(400)] + [(None, "n", "aa")], "doc_id long, text string, lang string")
+    learned = {r["doc_id"] for r in rows(language.learn_from(docs))}
+    assert learned == {i for i in range(400) if z.crc32(str(i).encode()) % 4 != 2}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (7, 5)], "doc_id long, toxic int")
+    sample = quality.labelled_sample(docs, labels, "toxic", 1_000)
+    assert {(r["doc_id"], r["label"]) for r in rows(sample)} == {(i, i % 2) for i in range(400) if z.crc32(str(i).encode()) % 5}
+    many = docs.limit(0).unionByName(spark.range(5_000).selectExpr("1L AS doc_id", "concat('t', id) AS text", "'aa' AS lang"))
+    assert quality.labelled_sample(many, labels, "toxic", 100).count() < 400
+    assert [r["held_out"] for r in rows(docs.filter("doc_id IS NULL").select(samples.held_out("doc_id", 5, 0)))] == [False]
+
+
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_scores_of_odd_rows(request, name):
+    table = request.getfixturevalue(name)
+    for score in (quality.score(table, quality.Machine(0)), toxicity.score(table, toxicity.Model([]))):
+        got = rows(score)
+        assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r["doc_id"] for r in rows(table)), key=repr) and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_language(spark, docs, empty):
     model = language.fit(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the house and the garden are big", "en"), ("das haus und der garten sind schön", "de"), ("la maison et le jardin sont grands", "fr")] * 5)], "doc_id long, text string, lang string"))
     assert [x[0] for x in model.predict(["the garden", "der garten und das", None, "", "123 !", "le jardin " * 5000])] == ["en", "de", "und", "und", "und", "fr"]
@@ -193,7 +284,7 @@ def test_runs_on_three_levels(spark, fanout, batches):
     table = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["text"] for r in rows(line_dedup.dedup_lines(table, batches=batches, fanout=fanout))}
     want, hot = brute_lines(source)
-    assert got == dict(want) and 0 < len(hot)
+    assert got == dict(want) and hot
     runs = line_dedup.LineRuns(fanout)
     posts = line_dedup.postings(table, "text", "doc_id", 40).withColumn("b", F.pmod("doc", F.lit(batches))).cache()
     for b in range(batches):
@@ -401,6 +492,28 @@ def test_plan_pads_little():
     assert sum(4096 - s for s in size if s & (s - 1)) < 4096
 
 
+def test_mixing_sizes_and_targets_in_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in rows(mixing.op1_mixing(spark, sf))}
+    sizes = duckdb.sql(f"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM '{sf}/documents.parquet'")
+    totals = duckdb.sql("SELECT source, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sizes GROUP BY source ORDER BY k").fetchall()
+    left, share, open_ = sum(n for _, n, _ in totals), {}, {s: (5, 2, 1)[k % 3] for s, n, k in totals if n}
+    size = {s: n for s, n, _ in totals}
+    while True:
+        each = left / sum(open_.values())
+        over = [s for s, w in open_.items() if w * each > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            share[s] = 3.0 * size[s]
+            left -= share[s]
+            del open_[s]
+    share |= {s: w * each for s, w in open_.items()}
+    assert got == {(i, n, size[s], round(share.get(s, 0.0), 6)) for i, s, n in sizes.fetchall()}
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(2)
     good = [" ".join(f"word{rng.integers(500)}" for _ in range(60)) for _ in range(60)]

@@ -9,7 +9,7 @@ near copies is a few nodes. Every shard's leaders query every shard of their lab
 for the leaders within the link angle plus two radii; the beam goes on while hits
 come, and is doubled until an audit of AUDIT queries against brute force misses no
 leader (at the last, the whole shard is read). All members of the leaders found are
-verified by cosine in blocks; per vector only the number of links and per linked
+verified by cosine in blocks, of vectors scaled by powers of two (norms of any size); per vector only the number of links and per linked
 vector its group's least vector leave the task. Components join these groups.
 
 Defined results: null, empty, zero or partly null or non-finite vectors and null
@@ -138,10 +138,15 @@ class Graph:
         return [i for s, i in self._layer(q, self._down(q, 0), beam, 0, floor) if s >= floor]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no norm overflows or vanishes; cosines are the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def build(pdf: pd.DataFrame) -> bytes:
     """A shard: its vectors, their leaders and the graph over these."""
     pdf = pdf.sort_values("rep")
-    x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+    x = scaled(np.stack(pdf["embedding"].to_numpy()).astype(float))
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     graph, leader = Graph(len(x), x.shape[1]), np.zeros(len(x), np.int64)
     join = np.cos(RADIUS)

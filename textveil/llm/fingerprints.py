@@ -9,7 +9,7 @@ the share of equal bins for the 2^-BITS that agree by chance.
 
 Defined results: null is the empty text; a text without words has the fingerprint
 of zeros, is alike (1) to another such text and unlike (0) any other; rows that
-repeat a doc_id are documents of their own, next to each other by text; null
+repeat a doc_id are documents of their own, next to each other by a hash of their text; null
 doc_ids stand first; an empty table gives no rows; other columns are not read.
 """
 
@@ -29,6 +29,8 @@ from textveil.llm import shingles as sh
 BINS = 256
 BITS = 4
 BUCKET_BYTES = 32_000_000
+RANGES = 1 << 15
+PER_RANGE = 32
 
 _ORDER = np.argsort(np.random.default_rng(11).random((BINS, BINS)), axis=1)
 _RANK = np.argsort(_ORDER, axis=1)
@@ -125,35 +127,56 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held += len(text)
 
 
+def _cuts(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (doc_id, h) of n ranges of about equally many rows, from a sample of PER_RANGE * n."""
+    unit = F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
+    # rows that repeat id and text count as often as they stand, yet come back once
+    seen = rows.filter(unit < PER_RANGE * n / max(total, 1)).groupBy("doc_id", "h").count().collect()
+    seen.sort()
+    up_to = np.cumsum([r["count"] for r in seen]) if seen else np.zeros(0)
+    picks = sorted({int(np.searchsorted(up_to, i * up_to[-1] / n)) for i in range(1, n)}) if seen else []
+    return np.array([seen[i]["doc_id"] for i in picks], np.int64), np.array([seen[i]["h"] for i in picks], np.int64)
+
+
+def range_of(doc: np.ndarray, h: np.ndarray, cut_doc: np.ndarray, cut_h: np.ndarray) -> np.ndarray:
+    """The range of each (doc, h): how many bounds are less."""
+    low, high = np.searchsorted(cut_doc, doc, side="left"), np.searchsorted(cut_doc, doc, side="right")
+    out = low.copy()
+    among = np.flatnonzero(low < high)  # an id that is a bound: its texts may lie in several ranges
+    for edge in np.unique(low[among]):
+        rows = among[low[among] == edge]
+        out[rows] = edge + np.searchsorted(cut_h[edge : high[rows[0]]], h[rows], side="left")
+    return out.astype(np.int32)
+
+
 def fingerprint_edits(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Fingerprints of docs (doc_id, text) and of their edited texts, with likenesses.
 
-    Documents are dealt by ranges of doc_id, so a document and its next stand in
-    one partition; the first document of each range is handed to the range before
-    as well. The driver holds the bounds of the ranges, one per bucket_bytes.
+    Documents are dealt by ranges of (doc_id, hash of text), so a document and its next
+    stand in one partition; the first document of each range is handed to the range before
+    as well. The driver holds the bounds of the ranges, one per bucket_bytes and RANGES at
+    most (beyond, ranges grow: a task streams its range in order, it never holds it), and
+    finds them from a sample of PER_RANGE rows a range.
     """
     spark = docs.sparkSession
-    rows = docs.select(ids.filled("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(ids.filled("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
-    n = max(1, min(max(24, (total["b"] or 0) // bucket_bytes), total["n"] // 2))
-    cuts: list[int] = []
-    if n > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"]
-        cuts = sorted(set(found or []))
-    edges = np.array(cuts, np.int64)
+    n = max(1, min(max(24, (total["b"] or 0) // bucket_bytes), total["n"] // 2, RANGES))
+    cut_doc, cut_h = _cuts(rows, n, total["n"])
 
     @F.pandas_udf("int")
-    def bucket_of(found: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, found.to_numpy(), side="left").astype(np.int32))
-
-    dealt = rows.select("doc_id").withColumn("bucket", bucket_of("doc_id"))
-    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
-    hand = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-    dim = F.broadcast(spark.createDataFrame(hand, "first long, bucket int"))  # one row for each range
-    own = rows.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.lit(False).alias("handed"))
-    handed = rows.join(dim, rows["doc_id"] == dim["first"]).select("doc_id", "text", "bucket", F.lit(True).alias("handed"))
-    dealt = own.unionByName(handed).repartitionById(max(1, n), "bucket")
-    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "text").mapInPandas(workers.lean(_stream), NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
+    def bucket_of(doc: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(doc.to_numpy(), h.to_numpy(), cut_doc, cut_h))
+
+    place = F.struct("doc_id", "h")
+    firsts = rows.withColumn("bucket", bucket_of("doc_id", "h")).groupBy("bucket").agg(F.min(place).alias("first")).collect()
+    firsts = sorted((r["bucket"], r["first"]["doc_id"], r["first"]["h"]) for r in firsts)
+    hand = [(doc, h, firsts[k - 1][0]) for k, (_, doc, h) in enumerate(firsts)]
+    dim = F.broadcast(spark.createDataFrame(hand, "first long, first_h long, bucket int"))  # one row for each range, RANGES at most
+    own = rows.select("doc_id", "h", "text", bucket_of("doc_id", "h").alias("bucket"), F.lit(False).alias("handed"))
+    handed = rows.join(dim, (rows["doc_id"] == dim["first"]) & (rows["h"] == dim["first_h"])).select("doc_id", "h", "text", "bucket", F.lit(True).alias("handed"))
+    dealt = own.unionByName(handed.dropDuplicates(["bucket"])).repartitionById(max(1, n), "bucket")
+    return dealt.sortWithinPartitions("bucket", "handed", "doc_id", "h").mapInPandas(workers.lean(_stream), NEIGHBOURS).withColumn("doc_id", ids.emptied("doc_id"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
