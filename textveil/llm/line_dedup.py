@@ -135,7 +135,8 @@ def frequent_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_
     runs = LineRuns(fanout)
     for b in range(batches):
         runs.add(held.filter(F.col("batch") == b).drop("batch"))
-    return held.join(runs.frequent(min_docs), KEY).filter(F.col("doc") < F.col("last")).select("doc", *KEY)
+    frequent = scratch.table(runs.frequent(min_docs), "frequent")  # of known size; a hot key's postings can be split
+    return held.join(frequent, KEY).filter(F.col("doc") < F.col("last")).select("doc", *KEY)
 
 
 def dedup_lines(
