@@ -158,6 +158,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        workers.give_back()
         try:
             for texts in batches:
                 yield pd.DataFrame(model.predict([None if t is None else t for t in texts]), columns=["lang", "score", "rejected"])

@@ -37,6 +37,7 @@ END_ID = 2
 BUCKET_BYTES = 24_000_000
 STEP_TOKENS = 1 << 18
 CACHE_WORDS = 300_000
+STORE = "word ids"
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -66,26 +67,28 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # an added token is found in a text before its words are: such texts go to the whole tokenizer
         self.added = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.size, self.parts = size, {}
+        self.size, self.tails = size, {}
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         self.chars = _byte_chars()
         probe = "déjà vu, the façade... naïve!! größe"
         self.direct = [i for w in probe.split() for i in np.frombuffer(self._of_word(w), "<u4")] == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self.clear()
         self.by_word = b"".join(map(self._whole, self._probe.lower().split())) == self._whole(self._probe)
 
-    def _model(self, part: str) -> bytes:
-        got = self.parts.get(part)
+    def _model(self, part: str, held: dict) -> bytes:
+        got = held.get(part)
         if got is None:
-            if len(self.parts) >= self.size:
-                self.parts.clear()
+            if len(held) >= self.size:
+                held.clear()
             word = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
             got = np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
-            self.parts[part] = got
+            held[part] = got
         return got
 
     def _of_word(self, word: str) -> bytes:
+        """Ids of letters, which are a word themselves, and of what trails them."""
         m = self._simple.fullmatch(word)
-        return self._model(m[1]) + (self._model(m[2]) if m[2] else b"")
+        return self._model(m[1], self) + (self._model(m[2], self.tails) if m[2] else b"")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.size:
@@ -110,14 +113,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, lower.split()))
 
 
-_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One for each worker process and file."""
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
+    held = workers.store(STORE)
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS, least: int = LEAST) -> list[list[tuple[int, int, int]]]:
@@ -201,15 +202,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(tokenizer_path)
+        width = np.dtype("<u2" if max(words.largest, end_id) < 1 << 16 else "<u4")
         for pdf in batches:
-            packed = [words.of_text(t or "") + end for t in pdf["text"]]
-            n = [len(p) // 4 for p in packed]
-            width = "<u2" if max(words.largest, end_id) < 1 << 16 else "<u4"
-            narrow = [np.frombuffer(p, "<u4").astype(width).tobytes() for p in packed]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids": narrow})
+            narrow = [np.frombuffer(words.of_text(t or "") + end, "<u4").astype(width).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(p) // width.itemsize for p in narrow], "ids": narrow})
 
     rows = docs.select(ids.filled(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(workers.lean(run), "doc_id long, n_tokens long, ids binary")
+    return rows.mapInPandas(workers.lean(run, STORE), "doc_id long, n_tokens long, ids binary")
 
 
 def pack(

@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from textveil.llm import workers
+
 WIDTH = 5
 CHUNK_BYTES = 1 << 19
 
@@ -19,7 +21,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 _STEP = [pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(WIDTH)]
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = workers.store("powers")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
