@@ -5,7 +5,8 @@ precision, is at least `least`. Equal vectors are one, weighted by their number.
 The vectors of a label are dealt by hash into shards of about `shard_rows`. Each
 shard builds a hierarchical navigable small-world graph over leaders: a vector within
 RADIUS of a leader joins it, others become leaders themselves, so a large group of
-near copies is a few nodes. Every shard's leaders query every shard of their label
+near copies is a few nodes. The leaders of a shard query the shard itself and every later one of their
+label (what they find counts for both, so links are mutual and each pair of shards meets once)
 for the leaders within the link angle plus two radii; the beam goes on while hits
 come, and is doubled until an audit of AUDIT queries against brute force misses no
 leader (at the last, the whole shard is read). All members of the leaders found are
@@ -101,7 +102,15 @@ class Graph:
                 chosen.append(k)
         return [ids[k] for k in chosen]
 
-    def add(self, q: np.ndarray) -> int:
+    def place(self, q: np.ndarray, join: float) -> int:
+        """The nearest node, if its cosine is at least join, or else a new one: one search serves both."""
+        if self.entry < 0:
+            return self._new(q, [])
+        found = self._layer(q, self._down(q, 0), BUILD_BEAM, 0)
+        return found[0][1] if found[0][0] >= join else self._new(q, found)
+
+    def _new(self, q: np.ndarray, found: list[tuple[float, int]]) -> int:
+        """Insert q; found: its neighbours on the lowest layer."""
         node, level = self.n, int(-np.log(self.rng.random() + 1e-12) / np.log(LINKS))
         self.x[node] = q
         self.n += 1
@@ -111,28 +120,31 @@ class Graph:
         if self.entry < 0:
             self.entry, self.top = node, level
             return node
-        at = self._down(q, min(level, self.top))
-        for layer in range(min(level, self.top), -1, -1):
+        self._link(node, found, 0)
+        top = min(level, self.top)
+        at = self._down(q, top) if top else []
+        for layer in range(top, 0, -1):
             at = self._layer(q, at, BUILD_BEAM, layer)
-            near, used = self.near[layer], self.used[layer]
-            for other in self._select(at, LINKS):
-                near[node, used[node]] = other
-                used[node] += 1
-                if used[other] < near.shape[1]:
-                    near[other, used[other]] = node
-                    used[other] += 1
-                else:
-                    ids = [*near[other].tolist(), node]
-                    ranked = sorted(zip((self.x[ids] @ self.x[other]).tolist(), ids, strict=True), reverse=True)
-                    kept = self._select(ranked, near.shape[1])
-                    near[other, : len(kept)] = kept
-                    used[other] = len(kept)
+            self._link(node, at, layer)
         if level > self.top:
             self.entry, self.top = node, level
         return node
 
-    def nearest(self, q: np.ndarray, beam: int) -> tuple[float, int]:
-        return self._layer(q, self._down(q, 0), beam, 0)[0]
+    def _link(self, node: int, found: list[tuple[float, int]], layer: int) -> None:
+        """Links of a layer between a new node and those chosen from found, both ways."""
+        near, used = self.near[layer], self.used[layer]
+        for other in self._select(found, LINKS):
+            near[node, used[node]] = other
+            used[node] += 1
+            if used[other] < near.shape[1]:
+                near[other, used[other]] = node
+                used[other] += 1
+            else:
+                ids = [*near[other].tolist(), node]
+                ranked = sorted(zip((self.x[ids] @ self.x[other]).tolist(), ids, strict=True), reverse=True)
+                kept = self._select(ranked, near.shape[1])
+                near[other, : len(kept)] = kept
+                used[other] = len(kept)
 
     def within(self, q: np.ndarray, floor: float, beam: int) -> list[int]:
         return [i for s, i in self._layer(q, self._down(q, 0), beam, 0, floor) if s >= floor]
@@ -151,8 +163,7 @@ def build(pdf: pd.DataFrame) -> bytes:
     graph, leader = Graph(len(x), x.shape[1]), np.zeros(len(x), np.int64)
     join = np.cos(RADIUS)
     for i in range(len(x)):
-        s, node = graph.nearest(unit[i], BEAM) if graph.n else (-1.0, -1)
-        leader[i] = node if s >= join else graph.add(unit[i])
+        leader[i] = graph.place(unit[i], join)
     n = graph.n
     graph.x, graph.seen = graph.x[:n], graph.seen[:n]
     graph.near, graph.used = [a[:n] for a in graph.near], [a[:n] for a in graph.used]
@@ -180,8 +191,9 @@ def _groups(found: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def compare(one: dict, other: dict, same: bool, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted links of each of one's vectors into the other shard, and (vec, least vec of its group)."""
+def compare(one: dict, other: dict, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Weighted links of each of one's vectors into the other shard, and of the other's into one
+    (none if they are the same), and (vec, least vec of its group)."""
     graph, mine = other["graph"], one["graph"]
     floor = float(np.cos(min(np.pi, np.arccos(least) + 2 * RADIUS))) - 1e-4
     beam, audit = BEAM, np.linspace(0, mine.n - 1, min(AUDIT, mine.n)).astype(int)
@@ -190,7 +202,7 @@ def compare(one: dict, other: dict, same: bool, least: float) -> tuple[np.ndarra
         if all(set(np.flatnonzero(t)) <= set(graph.within(mine.x[a], floor, beam)) for a, t in zip(audit, truth, strict=True)):
             break
         beam *= 2
-    links = np.zeros(len(one["rep"]), np.int64)
+    links, back = np.zeros(len(one["rep"]), np.int64), np.zeros(len(other["rep"]), np.int64)
     parent: dict[int, int] = {}
 
     def root(a: int) -> int:
@@ -217,12 +229,14 @@ def compare(one: dict, other: dict, same: bool, least: float) -> tuple[np.ndarra
             if same:
                 hit &= np.arange(a, b)[:, None] != columns
             links[a:b] = hit @ weight
+            if not same:
+                back[columns] += one["n"][a:b] @ hit
             for rows, cols in _groups(hit):
                 members = [*one["rep"][rows + a].tolist(), *other["rep"][columns[cols]].tolist()]
                 low = min(map(root, members))
                 for m in members:
                     parent[root(m)] = low
-    return links, [(v, root(v)) for v in list(parent) if root(v) != v]
+    return links, back, [(v, root(v)) for v in list(parent) if root(v) != v]
 
 
 def near_vectors(rows: DataFrame, least: float = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -245,11 +259,12 @@ def near_vectors(rows: DataFrame, least: float = LEAST, shard_rows: int = SHARD_
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one, other = pickle.loads(pdf["blob"].iloc[0]), pickle.loads(pdf["blob2"].iloc[0])
-        links, edges = compare(one, other, key[2] == key[3], least)
-        found = pd.DataFrame({"u": one["rep"], "v": one["rep"], "links": links})
+        links, back, edges = compare(one, other, key[2] == key[3], least)
+        vec = np.concatenate([one["rep"], other["rep"]])
+        found = pd.DataFrame({"u": vec, "v": vec, "links": np.concatenate([links, back])})
         return pd.concat([found[found["links"] > 0], pd.DataFrame(edges, columns=["u", "v"]).assign(links=0).astype("int64")])
 
-    pairs = shards.join(shards.select("label", "dims", F.col("shard").alias("shard2"), F.col("blob").alias("blob2")), ["label", "dims"])
+    pairs = shards.join(shards.select("label", "dims", F.col("shard").alias("shard2"), F.col("blob").alias("blob2")), ["label", "dims"]).filter("shard <= shard2")
     found = scratch.table(pairs.groupBy("label", "dims", "shard", "shard2").applyInPandas(run, "u long, v long, links long"), "links")
     links = found.groupBy("u").agg(F.sum("links").alias("links")).select(F.col("u").alias("rep"), "links")
     joined = components(found.filter("u <> v").select("u", "v")).withColumnRenamed("node", "rep")
