@@ -1,6 +1,8 @@
 """Detectors, arbitration, risk, masking and restoring: made-up values of every category."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,52 @@ def test_match_is_greedy(spark):
     assert got == {1: (1, 1, 1), 2: (0, 0, 1), 3: (0, 1, 0)}
 
 
+def brute_match(pred, truth, least):
+    """(tp, fp, fn) by trying every truth for every prediction, of (ord, start, end, type)."""
+    whole = lambda s: None not in s[1:] and s[1] < s[2]
+    free, tp = sorted(filter(whole, truth)), 0
+    for _, a, b, kind in sorted(filter(whole, pred)):
+        shares = [(max(0, min(b, t[2]) - max(a, t[1])) / (max(b, t[2]) - min(a, t[1])) if t[3] == kind else 0.0) for t in free]
+        most = max(shares, default=0.0)
+        if most > 0 and most >= least:
+            del free[shares.index(most)]
+            tp += 1
+    return tp, len(pred) - tp, len(truth) - tp
+
+
+@pytest.mark.parametrize("least", [0.5, 0.0, 0.9])
+def test_match_tries_all_pairs(spark, least):
+    rnd = random.Random(7)
+
+    def spans(n, width):
+        """Close and far ones, some at one place, repeated ords, empty, reversed, without place or type."""
+        starts = [rnd.randrange(width) for _ in range(n)]
+        return [(rnd.choice([i, i // 3]), None if rnd.random() < 0.02 else a, a + rnd.choice([3, 4, 5, 9, 20, 0, -2]), rnd.choice(["A", "A", "B", None])) for i, a in enumerate(starts)]
+
+    sizes = {1: (150, 40), 2: (150, 2000), 3: (90, 300), 4: (3, 5), 5: (1, 3), None: (40, 60)}
+    sides = [{k: spans(rnd.randrange(n // 2, n + 1), w) for k, (n, w) in sizes.items()} for _ in range(2)]
+    sides[0][6], sides[1][6] = [], [(0, 0, 4, "A")]
+    shape = "id int, ord int, start int, end int, type string"
+    pred, truth = (spark.createDataFrame([(k, *s) for k, v in side.items() for s in v], shape) for side in sides)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "7")  # runs reach over batches
+    try:
+        got = {r.id: (r.tp, r.fp, r.fn) for r in evaluate.match(pred, truth, "id", least).collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert got == {k: brute_match(sides[0][k], sides[1][k], least) for k in sides[0]}
+
+
+def test_match_of_a_long_document(spark):
+    """Trying all pairs of 4,000 spans takes many minutes."""
+    spans = spark.range(4000).select(F.lit(1).alias("id"), F.col("id").alias("ord"), F.when(F.col("id") < 2000, 7).otherwise(10 * F.col("id")).alias("start"), F.lit("A").alias("type"))
+    truth = spans.withColumn("end", F.col("start") + 10)
+    pred = truth.withColumn("start", F.col("start") + 1).filter("ord % 2 = 0").withColumn("end", F.col("start") + 10)
+    began = time.time()
+    assert [tuple(r) for r in evaluate.match(pred, truth, "id").collect()] == [(1, 2000, 0, 2000)]
+    assert time.time() - began < 60
+
+
 def test_synthetic_records(spark):
     people = synth.records(spark, 60)
     assert people.filter(~text.valid_tw_id(F.col("taiwan_id"))).count() == 0

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IOU = 0.5
+FEW = 64  # pairs of a run up to which plain loops are faster than arrays
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -18,24 +25,111 @@ def match(pred: DataFrame, truth: DataFrame, key: str, least: float = IOU) -> Da
     """(key, tp, fp, fn): predictions in order take the unmatched truth of their type
     of largest IoU (of equals the first), if it is at least `least`.
 
-    Both sides are gathered by document, and the greedy choice is a fold in its row.
+    Only spans that overlap, or hang together by others that do, can bear on each other:
+    a document's spans of a type are sorted by place, cut where all spans before have
+    ended, and each such run is matched by itself, so no more than a run is held at once.
+    Rows of equal `ord` are separate spans, first by place. Spans without a type, a
+    length or a place are counted and match nothing. A null key is one document.
     """
-    shape = F.struct("ord", "start", "end", "type")
-    p = pred.groupBy(key).agg(F.array_sort(F.collect_list(shape)).alias("p"))
-    t = truth.groupBy(key).agg(F.array_sort(F.collect_list(shape)).alias("t"))
-    both = p.join(t, key, "full_outer")
-    spans = "array<struct<ord:bigint,start:bigint,end:bigint,type:string>>"
-    both = both.select(key, *(F.coalesce(F.col(c).cast(spans), F.expr("array()").cast(spans)).alias(c) for c in ("p", "t")))
-
-    def step(used: Column, x: Column) -> Column:
-        free = F.filter(F.col("t"), lambda g: (g["type"] == x["type"]) & ~F.array_contains(used, g["ord"]))
-        ranked = F.array_sort(F.transform(free, lambda g: F.struct((-iou(x, g)).alias("far"), g["ord"].alias("ord"))))
-        best = F.get(ranked, F.lit(0))
-        return F.when(F.coalesce((-best["far"] >= least) & (best["far"] < 0), F.lit(False)), F.array_append(used, best["ord"])).otherwise(used)
-
-    used = F.aggregate("p", F.expr("array()").cast("array<bigint>"), step)
-    both = both.withColumn("tp", F.size(used).cast("long"))
-    return both.select(key, "tp", (F.size("p") - F.col("tp")).alias("fp"), (F.size("t") - F.col("tp")).alias("fn"))
+    live = F.col("type").isNotNull() & (F.col("start") < F.col("end"))
+
+    def side(spans: DataFrame, true: bool) -> DataFrame:
+        places = (F.when(live, F.col(c).cast("long")).alias(f"__{c}") for c in ("start", "end"))
+        return spans.select(key, F.when(live, F.col("type").cast("string")).alias("__type"), *places, F.col("ord").cast("long").alias("__ord"), F.lit(true).alias("__true"))
+
+    before = Window.partitionBy(key, "__type").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = side(pred, False).unionByName(side(truth, True)).withColumn("__new", F.coalesce(F.col("__start") >= F.max("__end").over(before), F.lit(True)))
+    zero = (F.coalesce(c, F.lit(0)).alias(c) for c in ("__start", "__end", "__ord"))
+    rows = rows.select(key, "__new", "__true", *zero)  # in the window's order
+    counts = T.StructType([T.StructField(key, rows.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_runs(batches):
+            yield from _matched(whole, key, least)
+
+    return rows.mapInArrow(run, counts).groupBy(key).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, cut only where a run begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch["__new"].to_numpy(zero_copy_only=False))
+        if len(begins):
+            held.append(batch.slice(0, begins[-1]))
+            yield pa.Table.from_batches(held)
+            batch, held = batch.slice(begins[-1]), []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matched(rows: pa.Table, key: str, least: float) -> Iterator[pa.RecordBatch]:
+    """(key, tp, fp, fn) of each run in rows."""
+    new, true, start, end, nth = (rows[c].to_numpy() for c in ("__new", "__true", "__start", "__end", "__ord"))
+    if not len(new):
+        return
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(new)))
+    t = np.add.reduceat(true.astype(np.int64), at)
+    p = n - t
+    tp = np.zeros(len(at), np.int64)
+    pair = (p == 1) & (t == 1)
+    a, b = at[pair], at[pair] + 1
+    share = (np.minimum(end[a], end[b]) - np.maximum(start[a], start[b])) / (np.maximum(end[a], end[b]) - np.minimum(start[a], start[b]))
+    tp[pair] = (share >= least) & (share > 0)
+    for i in np.flatnonzero((p > 0) & (t > 0) & ~pair):
+        run = slice(at[i], at[i] + n[i])
+        spans, mine = np.stack([nth[run], start[run], end[run]], axis=1), true[run]
+        tp[i] = (_few if p[i] * t[i] <= FEW else _many)(spans[~mine], spans[mine], least)
+    yield from pa.table({key: rows[key].take(at), "tp": tp, "fp": p - tp, "fn": t - tp}).to_batches()
+
+
+def _few(pred: np.ndarray, truth: np.ndarray, least: float) -> int:
+    """How many predictions (ord, start, end) match, by trying all pairs."""
+    free, tp = sorted(truth.tolist()), 0
+    for _, a, b in sorted(pred.tolist()):
+        most, best = 0.0, None
+        for i, (_, c, d) in enumerate(free):
+            share = (min(b, d) - max(a, c)) / (max(b, d) - min(a, c))
+            if share > most:
+                most, best = share, i
+        if best is not None and most >= least:
+            del free[best]
+            tp += 1
+    return tp
+
+
+def _many(pred: np.ndarray, truth: np.ndarray, least: float) -> int:
+    """_few for long runs: truths of one place are a queue, and only places near enough
+    for the least IoU are tried."""
+    truth = truth[np.lexsort((truth[:, 0], truth[:, 2], truth[:, 1]))]
+    first = np.flatnonzero(np.append(True, (truth[1:, 1:] != truth[:-1, 1:]).any(axis=1)))
+    start, end, head = truth[first, 1], truth[first, 2], truth[first, 0]
+    starts = start.tolist()
+    next_, stop = first.copy(), np.append(first[1:], len(truth))
+    free, tp = np.ones(len(first), bool), 0
+    for _, a, b in pred[np.lexsort((pred[:, 2], pred[:, 1], pred[:, 0]))].tolist():
+        lo, hi = 0, bisect_left(starts, b)
+        if least > 0:  # an IoU is at most (b - a) / (b - start), and (b - start) / (b - a)
+            lo, hi = bisect_left(starts, b - (b - a) / least - 1), bisect_left(starts, min(b, b - (b - a) * least + 1))
+        near = lo + np.flatnonzero(free[lo:hi])
+        if not len(near):
+            continue
+        s, e = start[near], end[near]
+        share = (np.minimum(e, b) - np.maximum(s, a)) / (np.maximum(e, b) - np.minimum(s, a))
+        most = share.max()
+        if most < least or most <= 0:
+            continue
+        equal = near[share == most]
+        best = equal[np.argmin(head[equal])]
+        tp += 1
+        next_[best] += 1
+        if next_[best] < stop[best]:
+            head[best] = truth[next_[best], 0]
+        else:
+            free[best] = False
+    return tp
 
 
 def scores(counts: DataFrame, key: str) -> DataFrame:
