@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -37,6 +38,21 @@ def test_against_the_other_engine(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("name", ["prf1_rollup", "iou_match"])
+def test_matching_of_long_files(spark, tmp_path, name):
+    """90,000 spans in 20 files, which took many minutes when all pairs were tried."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT c.* REPLACE (c_custkey + 15000 * i AS c_custkey) FROM '/root/testdata/sf0.1/customer.parquet' AS c, range(6) AS r(i)) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    began = time.time()
+    got = entry.queries()[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    rows = got.select(*columns).collect()
+    assert time.time() - began < 60
+    want = con.sql(entry.oracle_sql()[name]).select(*columns).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want)) and len(want) >= 20
+
+
 def test_sql_functions(spark):
     names = register(spark)
     assert len(names) == 5
